@@ -122,8 +122,8 @@ def search_many(
     ).select("query_id", "query", "_r.piece", "_r.tasks")
 
     used = rarest.select("piece", "tasks").distinct()
-    keyed = titles.join(used, "piece").withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks"))).drop("tasks")
-    sought = rarest.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).cast("bigint")).drop("tasks")
+    keyed = titles.join(used, "piece").withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).drop("tasks")
+    sought = rarest.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
     match, score = relevance(F.col("query"), literal)
     found = keyed.join(sought, ["piece", "task"]).filter(match).withColumn("relevance_score", score)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), *popular))

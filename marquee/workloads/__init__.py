@@ -31,4 +31,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from marquee.workloads import cleaning, nested, profiling  # noqa: F401
+    from marquee.workloads import cleaning, embeddings, nested, profiling, serving, storage  # noqa: F401
