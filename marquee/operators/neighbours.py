@@ -71,7 +71,9 @@ def assign_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
         away = np.where(lost, 0.0, dist[np.arange(len(dist)), np.maximum(cell, 0)])
         return pa.StructArray.from_arrays([pa.array(cell), pa.array(away)], ["cell", "away"])
 
-    placed = vectors.filter(F.col("embedding").isNotNull()).select("id", "embedding", place("embedding").alias("_p"))
+    # Declared non-deterministic so that the filter below does not evaluate it a second time.
+    cell = place.asNondeterministic()("embedding").alias("_p")
+    placed = vectors.filter(F.col("embedding").isNotNull()).select("id", "embedding", cell)
     return placed.select("id", "embedding", "_p.cell", "_p.away").filter("cell >= 0")
 
 

@@ -22,13 +22,8 @@ Fields = Mapping[str, str]  # field name -> "long" or "string"
 ARROW_TYPES = {"long": pa.int64(), "string": pa.string()}
 LONG_RANGE = (-(2**63), 2**63 - 1)
 
-# Outside its quoted strings a plain cell shows nothing but brackets, commas, colons, integers and None:
-# one list of flat dicts, or one flat dict. The patterns are single character-class loops, so
-# a cell of any length is matched in linear time without recursion.
-NOT_PLAIN = r"[^\[\]{}:,\s0-9-]|-0"
-ONE_LIST = r"^\s*\[[^\[\]]*\]\s*$"
-DICT_IN_DICT = r"\{[^{}]*\{"
-ONE_DICT = r"^\s*\{[^{}\[\]]*\}\s*$"
+# Characters a plain cell may show outside its quoted strings besides brackets and None.
+FILLER = ":, \t\n0123456789-"
 
 
 def _ddl(fields: Fields, many: bool) -> str:
@@ -74,39 +69,50 @@ def _literal_udf(fields: Fields, many: bool):
     def parse(cells: pa.Array) -> pa.Array:
         return pa.array([value(c) for c in cells.to_pylist()], type=arrow_type)
 
-    return parse
+    # Declared so that no filter on the parsed value moves below it, which would parse every cell twice.
+    return parse.asNondeterministic()
 
 
-def literal_cell(cell: Column, fields: Fields, many: bool = True, native: bool = True) -> Column:
-    """Typed value of a literal cell: an array of structs, or one struct with ``many=False``.
+def with_literal(df: DataFrame, alias: str, cell: str, fields: Fields, many: bool = True, native: bool = True) -> DataFrame:
+    """Add the typed value of a literal cell: an array of structs, or one struct with ``many=False``.
 
     Null, empty, ``nan``, ``none``, malformed text and the wrong container give null. List items that are not
     dicts give null elements. ``native=False`` sends every cell to Python.
+
+    The steps are separate columns because each is used more than once: Spark then keeps them as separate
+    projections and evaluates each once per row.
     """
-    parse = _literal_udf(fields, many)
+    parse, kept = _literal_udf(fields, many), [c for c in df.columns if c != alias]
     if not native:
-        return parse(cell)
-    pieces = F.split(cell, "'", -1)  # odd pieces are the insides of quoted strings
-    outside = F.array_join(F.transform(pieces, lambda s, i: F.when(i % 2 == 0, s).otherwise(F.lit(""))), "")
-    shape = outside.rlike(ONE_LIST) & ~outside.rlike(DICT_IN_DICT) if many else outside.rlike(ONE_DICT)
-    bare_ok = ~F.replace(outside, F.lit("None"), F.lit("")).rlike(NOT_PLAIN)
-    plain = ~cell.rlike(r'["\\\x00-\x1f]') & (F.size(pieces) % 2 == 1) & bare_ok & shape
-    bare = F.transform(pieces, lambda s, i: F.when(i % 2 == 0, F.replace(s, F.lit("None"), F.lit("null"))).otherwise(s))
+        return df.select(*kept, parse(F.col(cell)).alias(alias))
+    # Odd pieces are the insides of quoted strings, if no string holds a quote or an escape.
+    df = df.withColumn("_pieces", F.split(cell, "'", -1))
+    outside = F.array_join(F.transform("_pieces", lambda s, i: F.when(i % 2 == 0, s).otherwise(F.lit(""))), "")
+    df = df.withColumn("_outside", F.replace(outside, F.lit("None"), F.lit("")))
+    brackets = F.translate("_outside", FILLER, "")
+    shape = F.replace(brackets, F.lit("{}"), F.lit("")) == "[]" if many else brackets == "{}"
+    simple = ~F.col(cell).contains('"') & ~F.col(cell).contains("\\") & ~F.col("_outside").contains("-0") & (F.size("_pieces") % 2 == 1)
+    bare = F.transform("_pieces", lambda s, i: F.when(i % 2 == 0, F.replace(s, F.lit("None"), F.lit("null"))).otherwise(s))
     json = F.concat(F.lit('{"v":'), F.array_join(bare, '"'), F.lit("}"))
-    schema = f"v {_ddl(fields, many)}, _bad string"
-    read = F.from_json(F.when(plain, json), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    good = F.coalesce(plain & read["_bad"].isNull(), F.lit(False))
-    return F.coalesce(F.when(good, read["v"]), parse(F.when(~good, cell)))
+    df = df.withColumn("_json", F.when(shape & simple, json))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    df = df.withColumn("_read", F.from_json("_json", f"v {_ddl(fields, many)}, _bad string", options))
+    df = df.withColumn("_good", F.coalesce(F.col("_read._bad").isNull() & F.col("_json").isNotNull(), F.lit(False)))
+    # Cells that are read already go in as null, so Python only sees the rest.
+    df = df.withColumn("_slow", parse(F.when(~F.col("_good"), F.col(cell))))
+    return df.select(*kept, F.when(F.col("_good"), F.col("_read.v")).otherwise(F.col("_slow")).alias(alias))
 
 
-def literal_list(cell: Column, fields: Fields) -> Column:
-    """``literal_cell`` with an empty array where it would be null."""
-    return F.coalesce(literal_cell(cell, fields), F.array().cast(_ddl(fields, True)))
+def with_literal_list(df: DataFrame, alias: str, cell: str, fields: Fields) -> DataFrame:
+    """``with_literal`` with an empty array where it would be null."""
+    parsed = with_literal(df, alias, cell, fields)
+    return parsed.withColumn(alias, F.coalesce(F.col(alias), F.array().cast(_ddl(fields, True))))
 
 
 def items(df: DataFrame, owner: str, cell: str, fields: Fields, order: Sequence[str]) -> DataFrame:
     """One row per list item: owner as ``movie_id``, the order columns, ``pos`` and the fields."""
-    parsed = df.select(F.col(owner).cast("bigint").alias("movie_id"), *order, literal_cell(F.col(cell), fields).alias("_items"))
+    narrow = df.select(F.col(owner).cast("bigint").alias("movie_id"), *order, F.col(cell).alias("_cell"))
+    parsed = with_literal(narrow, "_items", "_cell", fields)
     rows = parsed.select("movie_id", *order, F.posexplode("_items").alias("pos", "_item")).filter(F.col("_item").isNotNull())
     return rows.select("movie_id", *order, "pos", *[F.col(f"_item.`{n}`").alias(n) for n in fields])
 
@@ -139,14 +145,14 @@ CAST = {"id": "long", "name": "string", "gender": "long", "profile_path": "strin
 CREW = {"id": "long", "name": "string", "gender": "long", "profile_path": "string", "job": "string", "department": "string"}
 
 
-def collection_id(cell: Column) -> Column:
-    """Identifier in a collection cell, or null."""
-    return literal_cell(cell, COLLECTION, many=False)["id"]
+def with_collection_id(df: DataFrame, alias: str, cell: str) -> DataFrame:
+    """Add the identifier in a collection cell, or null."""
+    return with_literal(df, alias, cell, {"id": "long"}, many=False).withColumn(alias, F.col(alias)["id"])
 
 
 def collections(df: DataFrame, cell: str, order: Sequence[str]) -> DataFrame:
     """Distinct collections (id, name, poster_path, backdrop_path), first seen wins."""
-    rows = df.select(*order, literal_cell(F.col(cell), COLLECTION, many=False).alias("_c")).select(*order, "_c.*")
+    rows = with_literal(df.select(*order, F.col(cell).alias("_cell")), "_c", "_cell", COLLECTION, many=False).select(*order, "_c.*")
     return first_values(rows.filter(F.col("id").isNotNull()), "id", ["name", "poster_path", "backdrop_path"], order)
 
 

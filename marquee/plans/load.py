@@ -22,13 +22,14 @@ def movie_rows(cleaned: DataFrame) -> DataFrame:
     A present ``adult`` cell counts as true unless it is the boolean or text ``false``.
     """
     adult = F.lower(F.trim(F.col("adult").cast("string")))
-    rows = cleaned.select(
+    found = nested.with_collection_id(cleaned, "collection_id", "belongs_to_collection")
+    rows = found.select(
         "id", "imdb_id", F.coalesce("title", "original_title", F.lit("Untitled")).alias("title"), "original_title",
         "original_language", "overview", "tagline", "release_date",
         *[F.col(c).cast("bigint").alias(c) for c in ("runtime", "budget", "revenue")],
         "popularity", "vote_average", "vote_count", F.coalesce("status", F.lit("Unknown")).alias("status"),
         F.coalesce(adult != "false", F.lit(False)).alias("adult"), "poster_path",
-        nested.collection_id(F.col("belongs_to_collection")).alias("collection_id"),
+        "collection_id",
     )
     return conform(rows, schemas.schema("movies"))
 

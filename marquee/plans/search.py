@@ -30,21 +30,24 @@ def checked_query(query: str) -> str:
     return text
 
 
-def relevance(query: Column, literal: bool = False) -> tuple[Column, Column]:
-    """(match, score) of a query over ``title_form`` and ``original_form``.
+def relevance(exact: Column, source: Column, plain: Column | None = None) -> tuple[Column, Column]:
+    """(match, score) over ``title_form`` and ``original_form`` of a query's form and its form as LIKE text.
 
-    For a constant query the patterns fold to constants, so Spark plans plain contains and prefix
-    tests where they have no wildcard.
+    Constant patterns are planned as contains and prefix tests where they have no wildcard. For patterns
+    in a column, ``plain`` tells which have none and need no pattern matching.
     """
     title, original = F.col("title_form"), F.col("original_form")
-    exact, source = search_form(query), search_form(like_text(query, literal))
-    any_place, start = F.concat(F.lit("%"), source, F.lit("%")), F.concat(source, F.lit("%"))
-    in_title = F.coalesce(F.like(title, any_place), F.lit(False))
-    in_original = F.coalesce(F.like(original, any_place), F.lit(False))
-    score = (
-        F.when(title == exact, EXACT).when(F.like(title, start), PREFIX)
-        .when(in_title, CONTAINS).when(in_original, ORIGINAL).otherwise(0)
-    )
+
+    def holds(text: Column) -> Column:
+        like = F.like(text, F.concat(F.lit("%"), source, F.lit("%")))
+        return F.coalesce(like if plain is None else F.when(plain, F.contains(text, source)).otherwise(like), F.lit(False))
+
+    def begins(text: Column) -> Column:
+        like = F.like(text, F.concat(source, F.lit("%")))
+        return like if plain is None else F.when(plain, F.startswith(text, source)).otherwise(like)
+
+    in_title, in_original = holds(title), holds(original)
+    score = F.when(title == exact, EXACT).when(begins(title), PREFIX).when(in_title, CONTAINS).when(in_original, ORIGINAL).otherwise(0)
     return in_title | in_original, score
 
 
@@ -52,7 +55,7 @@ def hits(movies: DataFrame, query: str, literal: bool = False) -> DataFrame:
     """Matching movies with ``relevance_score``."""
     if "title_form" not in movies.columns:
         movies = with_search_forms(movies)
-    match, score = relevance(F.lit(query), literal)
+    match, score = relevance(search_form(F.lit(query)), search_form(like_text(F.lit(query), literal)))
     return movies.filter(match).withColumn("relevance_score", score)
 
 
@@ -114,17 +117,18 @@ def search_many(
     spread = titles.groupBy("piece").agg(F.ceil(F.count("*") / rows_per_task).cast("int").alias("tasks"), F.count("*").alias("titles"))
 
     # Pieces with a wildcard or an escape in them say nothing about the text; the empty piece always remains.
-    asked = queries.withColumn("piece", F.explode(F.array_distinct(_pieces(search_form(like_text(F.col("query"), literal))))))
+    queries = queries.select("query_id", search_form(F.col("query")).alias("exact"), search_form(like_text(F.col("query"), literal)).alias("source"))
+    queries = queries.withColumn("plain", ~F.col("source").rlike(r"[%_\\]"))
+    asked = queries.withColumn("piece", F.explode(F.array_distinct(_pieces(F.col("source")))))
     asked = asked.filter(~F.col("piece").rlike(r"[%_\\]"))
     counted = asked.join(spread, "piece", "left").fillna({"titles": 0, "tasks": 1})
-    rarest = counted.groupBy("query_id", "query").agg(
-        F.min(F.struct("titles", "piece", "tasks")).alias("_r")
-    ).select("query_id", "query", "_r.piece", "_r.tasks")
+    rarest = counted.groupBy("query_id", "exact", "source", "plain").agg(F.min(F.struct("titles", "piece", "tasks")).alias("_r"))
+    rarest = rarest.select("query_id", "exact", "source", "plain", "_r.piece", "_r.tasks")
 
     used = rarest.select("piece", "tasks").distinct()
     keyed = titles.join(used, "piece").withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).drop("tasks")
     sought = rarest.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
-    match, score = relevance(F.col("query"), literal)
+    match, score = relevance(F.col("exact"), F.col("source"), F.col("plain"))
     found = keyed.join(sought, ["piece", "task"]).filter(match).withColumn("relevance_score", score)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), *popular))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE turns small shuffled sides into broadcasts by their measured size, merges small partitions and
 # splits skewed ones; the last setting lets it split a hot join key even when that costs a shuffle.
@@ -63,3 +63,13 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a stored table of few files out to all cores before work that is heavy on the CPU.
+
+    A file may be one unsplittable piece to the scan, and then one task would do all the work. With at least as many files
+    as cores, as any large table has, nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -11,37 +11,43 @@ from pyspark.sql import functions as F
 
 from marquee.operators import nested
 from marquee.plans import load
+from marquee.session import spread
 from marquee.workloads import query, table
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(*ORDER, "l_returnflag", "l_linestatus")
+    li = spread(table(spark, sf_dir, "lineitem").select(*ORDER, "l_returnflag", "l_linestatus"))
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
 
     def text(pattern: str, *args):
-        return F.format_string(pattern, *args)
+        """The pattern with its ``%`` marks filled by columns."""
+        first, *rest = pattern.split("%")
+        parts = [F.lit(first)]
+        for arg, piece in zip(args, rest, strict=True):
+            parts += [F.col(arg) if isinstance(arg, str) else arg, F.lit(piece)]
+        return F.concat(*parts)
 
     genres = F.when(
-        flag == "A", text("[{'id': %d, 'name': 'Supplier line %d'}, {'id': %d, 'name': 'Part'}]", "l_suppkey", "l_linenumber", F.col("l_partkey") + 1000000)
-    ).when(flag == "N", text("[{'id': %d, 'name': \"O'Brien & Co\"}, {'id': %d, 'name': None}, 7]", "l_suppkey", "l_partkey")).otherwise(
-        F.when(status == "O", "[]").otherwise(text("[{'id': %d, 'name': ", "l_suppkey"))
+        flag == "A", text("[{'id': %, 'name': 'Supplier line %'}, {'id': %, 'name': 'Part'}]", "l_suppkey", "l_linenumber", F.col("l_partkey") + 1000000)
+    ).when(flag == "N", text("[{'id': %, 'name': \"O'Brien & Co\"}, {'id': %, 'name': None}, 7]", "l_suppkey", "l_partkey")).otherwise(
+        F.when(status == "O", "[]").otherwise(text("[{'id': %, 'name': ", "l_suppkey"))
     )
-    countries = F.when(flag == "A", text("[{'iso_3166_1': ' U%d ', 'name': 'Land %d'}]", "l_linenumber", "l_partkey")).when(
-        flag == "N", text("[{'iso_3166_1': 'usa', 'name': 'x'}, {'iso_3166_1': 'd%d', 'name': ''}]", "l_linenumber")
-    ).otherwise(text("[{'iso_3166_1': 'F%d', 'name': 'Pays %d'}]", "l_linenumber", "l_suppkey"))
+    countries = F.when(flag == "A", text("[{'iso_3166_1': ' U% ', 'name': 'Land %'}]", "l_linenumber", "l_partkey")).when(
+        flag == "N", text("[{'iso_3166_1': 'usa', 'name': 'x'}, {'iso_3166_1': 'd%', 'name': ''}]", "l_linenumber")
+    ).otherwise(text("[{'iso_3166_1': 'F%', 'name': 'Pays %'}]", "l_linenumber", "l_suppkey"))
     collection = F.when(
-        flag != "R", text("{'id': %d, 'name': 'Saga %d', 'poster_path': '/p%d.jpg', 'backdrop_path': None}", "l_suppkey", "l_linenumber", "l_partkey")
+        flag != "R", text("{'id': %, 'name': 'Saga %', 'poster_path': '/p%.jpg', 'backdrop_path': None}", "l_suppkey", "l_linenumber", "l_partkey")
     ).otherwise("[]")
     cast = text(
-        "[{'cast_id': 1, 'character': '%s', 'credit_id': '52fe', 'gender': %d, 'id': %d, 'name': 'Person %d', 'order': %s, 'profile_path': None}]",
+        "[{'cast_id': 1, 'character': '%', 'credit_id': '52fe', 'gender': %, 'id': %, 'name': 'Person %', 'order': %, 'profile_path': None}]",
         F.when(flag == "A", "").otherwise(F.lit("Hero (voice)")), "l_linenumber", "l_suppkey", "l_linenumber",
         F.when(flag == "R", "None").otherwise(F.col("l_linenumber").cast("string")),
     )
     crew = text(
-        "[{'credit_id': '52fe', 'department': '%s', 'gender': 0, 'id': %d, 'job': '%s', 'name': \"D'Arcy %d\", 'profile_path': '/x.jpg'}]",
-        F.when(status == "O", "").otherwise(F.lit("Sound")), F.col("l_partkey") + 50, F.when(flag == "N", "").otherwise(F.col("l_linestatus")), "l_linenumber",
+        "[{'credit_id': '52fe', 'department': '%', 'gender': 0, 'id': %, 'job': '%', 'name': \"D'Arcy %\", 'profile_path': '/x.jpg'}]",
+        F.when(status == "O", "").otherwise(F.lit("Sound")), F.col("l_partkey") + 50, F.when(flag == "N", "").otherwise(status), "l_linenumber",
     )
     return li.select(
         *ORDER, genres.alias("genres"), countries.alias("production_countries"), collection.alias("belongs_to_collection"),
@@ -97,8 +103,9 @@ def nested_collections(spark, sf_dir):
 
 @query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_returnflag <> 'R' then l_suppkey::double end as collection_id from lineitem")
 def nested_collection_id(spark, sf_dir):
-    found = nested.collection_id(F.col("belongs_to_collection")).cast("double")
-    return cells(spark, sf_dir).select(*ORDER, found.alias("collection_id"))
+    rows = cells(spark, sf_dir).select(*ORDER, "belongs_to_collection")
+    found = nested.with_collection_id(rows, "collection_id", "belongs_to_collection")
+    return found.select(*ORDER, F.col("collection_id").cast("double").alias("collection_id"))
 
 
 @query("""
@@ -134,5 +141,5 @@ def nested_people(spark, sf_dir):
 select l_orderkey, l_linenumber, l_partkey, l_suppkey,
   case l_returnflag when 'A' then 2 when 'N' then 3 else 0 end as items from lineitem""")
 def nested_list_or_empty(spark, sf_dir):
-    parsed = nested.literal_list(F.col("genres"), {"id": "long", "name": "string"})
-    return cells(spark, sf_dir).select(*ORDER, F.size(parsed).alias("items"))
+    rows = cells(spark, sf_dir).select(*ORDER, "genres")
+    return nested.with_literal_list(rows, "genres", "genres", {"id": "long", "name": "string"}).select(*ORDER, F.size("genres").alias("items"))
