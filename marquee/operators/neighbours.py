@@ -184,11 +184,10 @@ def nearest_for_all(vectors: DataFrame, k: int = 10, block_rows: int = 4096) ->
     )
     every_part = F.sequence(F.lit(0), F.element_at(parts, F.col("to_cell") + 1) - 1)
     visits = visits.withColumn("to_part", F.explode(every_part))
-    residents = bounded.select("id", "embedding", F.col("cell").alias("to_cell"), F.col("part").alias("to_part"))
-    meetings = visits.select("home", "to_cell", "to_part").distinct()
-    hosts = residents.join(meetings, ["to_cell", "to_part"])
-    key = ["home", "to_cell", "to_part"]
-    pairs = visits.groupBy(*key).cogroup(hosts.groupBy(*key)).applyInArrow(_visit(k), RANKED)
+    met = visits.select(F.col("home").alias("guest"), F.col("to_cell").alias("cell"), F.col("to_part").alias("part")).distinct()
+    residents = spark.read.parquet(path).select("id", "embedding", "cell", "part").join(met, ["cell", "part"])
+    guests, hosts = visits.groupBy("home", "to_cell", "to_part"), residents.groupBy("guest", "cell", "part")
+    pairs = guests.cogroup(hosts).applyInArrow(_visit(k), RANKED)
     return _ranked(pairs, k)
 
 

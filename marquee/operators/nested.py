@@ -91,6 +91,7 @@ def with_literal(df: DataFrame, alias: str, cell: str, fields: Fields, many: boo
     df = df.withColumn("_outside", F.replace(outside, F.lit("None"), F.lit("")))
     brackets = F.translate("_outside", FILLER, "")
     shape = F.replace(brackets, F.lit("{}"), F.lit("")) == "[]" if many else brackets == "{}"
+    shape = shape & F.endswith(F.rtrim(cell), F.lit("]" if many else "}"))
     simple = ~F.col(cell).contains('"') & ~F.col(cell).contains("\\") & ~F.col("_outside").contains("-0") & (F.size("_pieces") % 2 == 1)
     bare = F.transform("_pieces", lambda s, i: F.when(i % 2 == 0, F.replace(s, F.lit("None"), F.lit("null"))).otherwise(s))
     json = F.concat(F.lit('{"v":'), F.array_join(bare, '"'), F.lit("}"))

@@ -50,14 +50,12 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local-mode session, where driver and executors share one machine, may fall back to a
     temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = os.path.join(tempfile.gettempdir(), f"marquee-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return os.path.join(tempfile.gettempdir(), f"marquee-{spark.sparkContext.applicationId}")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
