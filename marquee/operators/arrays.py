@@ -7,23 +7,49 @@ the content of the array that is asked for.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def names_by_item(links: DataFrame, entities: DataFrame, link_key: str, entity_key: str, alias: str, item: str = "movie_id") -> DataFrame:
-    """(item, alias): names of the linked entities in ascending order, duplicates kept.
+@dataclass(frozen=True)
+class Relation:
+    """Links of items to named entities; ``link_key`` refers to ``entity_key``."""
+
+    links: DataFrame
+    link_key: str
+    entities: DataFrame
+    entity_key: str = "id"
+
 
-    Links are counted before they meet the entities, and names before they are gathered.
+def name_arrays(relations: Mapping[str, Relation], item: str = "movie_id") -> DataFrame:
+    """(item, one array per relation): names of the linked entities in ascending order, duplicates kept.
+
+    All relations travel as rows of one long table, so their number does not multiply the shuffles. Equal names
+    of an item are counted on the map side, and what is gathered per item are its distinct names.
     """
-    counted = links.groupBy(item, F.col(link_key).alias(entity_key)).agg(F.count("*").alias("_n"))
-    named = counted.join(entities.select(entity_key, "name"), entity_key)
-    tallied = named.groupBy(item, "name").agg(F.sum("_n").cast("int").alias("_n"))
-    gathered = tallied.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("name", "_n"))).alias("_names"))
-    repeat = F.transform("_names", lambda s: F.array_repeat(s["name"], s["_n"]))
-    return gathered.select(item, F.flatten(repeat).alias(alias))
+    parts = []
+    for kind, r in enumerate(relations.values()):
+        named = r.entities.select(F.col(r.entity_key).alias(r.link_key), "name")
+        parts.append(r.links.join(named, r.link_key).select(item, F.lit(kind).alias("_kind"), "name"))
+    tallied = reduce(DataFrame.unionByName, parts).groupBy(item, "_kind", "name").agg(F.count("*").cast("int").alias("_n"))
+    gathered = tallied.groupBy(item).agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("_kind") == kind, F.struct("name", "_n")))).alias(f"_names{kind}")
+        for kind in range(len(parts))
+    ])
+
+    def repeated(kind: int) -> Column:
+        return F.flatten(F.transform(f"_names{kind}", lambda s: F.array_repeat(s["name"], s["_n"])))
+
+    return gathered.select(item, *[repeated(kind).alias(alias) for kind, alias in enumerate(relations)])
+
+
+def names_by_item(links: DataFrame, entities: DataFrame, link_key: str, entity_key: str, alias: str, item: str = "movie_id") -> DataFrame:
+    """``name_arrays`` of a single relation; items without links are absent."""
+    return name_arrays({alias: Relation(links, link_key, entities, entity_key)}, item)
 
 
 def structs_by_item(rows: DataFrame, fields: Sequence[str], order: Sequence[Column], alias: str, item: str = "movie_id") -> DataFrame:

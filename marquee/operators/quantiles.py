@@ -42,8 +42,8 @@ def exact_quantiles(
         fences = [f for f in fences if f not in wide] + _narrow(spark, values, wide)
     # At most columns x quantiles rows, so this side is safe to broadcast.
     bounds = F.broadcast(spark.createDataFrame(fences, FENCES))
-    inside = values.join(bounds, "column").filter(F.col("v").between(F.col("lo"), F.col("hi")))
-    per_value = inside.groupBy("column", "p", "below", "n", "v").agg(F.count("*").alias("m"))
+    per_value = _fenced(values, fences).groupBy("column", "v").agg(F.count("*").alias("m"))
+    per_value = per_value.join(bounds, "column").filter(F.col("v").between(F.col("lo"), F.col("hi")))
     upto = Window.partitionBy("column", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = per_value.withColumn("upto", F.col("below") + F.sum("m").over(upto))
     rank = F.col("p") * (F.col("n") - 1)
@@ -56,6 +56,14 @@ def exact_quantiles(
     return picked.select("column", "p", (F.col("low") + step).alias("quantile"))
 
 
+def _fenced(values: DataFrame, fences: list[tuple]) -> DataFrame:
+    """The values inside at least one fence of their column."""
+    within = F.lit(False)
+    for column, _, lo, hi, *_ in fences:
+        within = within | ((F.col("column") == column) & F.col("v").between(F.lit(lo), F.lit(hi)))
+    return values.filter(within)
+
+
 def _narrow(spark, values: DataFrame, fences: list[tuple]) -> list[tuple]:
     """Tighter fences around each wanted rank, or the old ones where the guess missed the rank."""
     asked = []

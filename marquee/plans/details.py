@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.operators.arrays import empty_if_null, names_by_item, structs_by_item
+from marquee.operators.arrays import Relation, empty_if_null, name_arrays, structs_by_item
 
 # alias -> (link table, link key, entity table, entity key)
 NAME_ARRAYS = {
@@ -40,7 +40,7 @@ def crew_arrays(movie_crew: DataFrame, people: DataFrame) -> DataFrame:
 def details(tables: Mapping[str, DataFrame], movie_id: int | None = None) -> DataFrame:
     """Details of every movie, or of one id (no row when it does not exist).
 
-    Each relation is aggregated by movie before it is joined, so relations do not multiply each other, and
+    The relations are aggregated by movie before they are joined, so they do not multiply each other, and
     all joins but the collection's use the partitioning by movie id that the aggregations already have. A
     given id reaches every relation's scan.
     """
@@ -56,9 +56,11 @@ def details(tables: Mapping[str, DataFrame], movie_id: int | None = None) -> Dat
     links = of("external_ids").select(
         F.col("movie_id").alias("id"), F.struct("movielens_id", F.col("imdb_id_full").alias("imdb_numeric")).alias("cross_references")
     )
-    parts = [links]
-    for alias, (link, link_key, entity, entity_key) in NAME_ARRAYS.items():
-        parts.append(names_by_item(of(link), tables[entity], link_key, entity_key, alias))
+    names = {
+        alias: Relation(of(link), link_key, tables[entity], entity_key)
+        for alias, (link, link_key, entity, entity_key) in NAME_ARRAYS.items()
+    }
+    parts = [links, name_arrays(names)]
     parts += [cast_arrays(of("movie_cast"), tables["people"]), crew_arrays(of("movie_crew"), tables["people"])]
     for part in parts:
         wide = wide.join(part.withColumnRenamed("movie_id", "id"), "id", "left")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.operators.arrays import empty_if_null, names_by_item
+from marquee.operators.arrays import Relation, empty_if_null, name_arrays
 from marquee.operators.merge import upsert
 
 # What is embedded and how.
@@ -34,10 +34,11 @@ def candidates(
     rows = movies.filter(F.length("overview") >= SHORTEST_OVERVIEW).select("id", "title", "overview", "popularity")
     if limit is not None:
         rows = rows.orderBy(F.col("popularity").desc_nulls_last(), "id").limit(limit)
-    tags = names_by_item(movie_genres, genres, "genre_id", "id", "genres").withColumnRenamed("movie_id", "id")
-    words = names_by_item(movie_keywords, keywords, "keyword_id", "id", "keywords").withColumnRenamed("movie_id", "id")
+    tags = name_arrays({
+        "genres": Relation(movie_genres, "genre_id", genres), "keywords": Relation(movie_keywords, "keyword_id", keywords)
+    }).withColumnRenamed("movie_id", "id")
     stored = embeddings.select(F.col("movie_id").alias("id"), F.col("source_text_hash").alias("stored_hash"))
-    joined = rows.join(tags, "id", "left").join(words, "id", "left").join(stored, "id", "left")
+    joined = rows.join(tags, "id", "left").join(stored, "id", "left")
     return empty_if_null(joined, "genres", "keywords").select("id", "title", "overview", "genres", "keywords", "stored_hash")
 
 

@@ -11,6 +11,7 @@ from marquee.operators import dedup, neighbours
 from marquee.operators.arrays import empty_if_null
 from marquee.plans import browse, details, search, similar
 from marquee.plans.catalogue import Catalogue, genre_arrays, genre_names, summary
+from marquee.session import spread
 from marquee.workloads import query, table
 
 # ---- orders as movies, return flags of their lines as genres ---------------------------------------------------------
@@ -190,7 +191,8 @@ def search_many(spark, sf_dir):
 
 @query("select doc_id, md5(replace(lower(replace(strip_accents(text), 'ß', 'ss')), '-', ' ')) as form_md5 from documents")
 def search_form_of_texts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(search_form(F.col("text"))).alias("form_md5"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.md5(search_form(F.col("text"))).alias("form_md5"))
 
 
 @query("select conv_id, turn, md5(replace(strip_accents(text), 'ß', 'ss')) as plain_md5 from conversations")
