@@ -37,7 +37,7 @@ def name_arrays(relations: Mapping[str, Relation], item: str = "movie_id") -> Da
         parts.append(r.links.join(named, r.link_key).select(item, F.lit(kind).alias("_kind"), "name"))
     tallied = reduce(DataFrame.unionByName, parts).groupBy(item, "_kind", "name").agg(F.count("*").cast("int").alias("_n"))
     gathered = tallied.groupBy(item).agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("_kind") == kind, F.struct("name", "_n")))).alias(f"_names{kind}")
+        F.sort_array(F.collect_list(F.when(F.col("_kind") == kind, F.struct("name", "_n")))).alias(f"_names{kind}")
         for kind in range(len(parts))
     ])
 
@@ -56,7 +56,7 @@ def structs_by_item(rows: DataFrame, fields: Sequence[str], order: Sequence[Colu
     """(item, alias): structs of ``fields`` sorted by ``order``; ties are broken by the fields."""
     keys = [c.alias(f"_o{i}") for i, c in enumerate(order)]
     packed = F.struct(*keys, F.struct(*fields).alias("_row"))
-    gathered = rows.groupBy(item).agg(F.array_sort(F.collect_list(packed)).alias("_packed"))
+    gathered = rows.groupBy(item).agg(F.sort_array(F.collect_list(packed)).alias("_packed"))
     return gathered.select(item, F.transform("_packed", lambda s: s["_row"]).alias(alias))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -85,21 +84,26 @@ class HashEncoder:
 
     def __init__(self, dim: int = DIMENSION):
         self.dim = dim
+        self.codes: dict[str, int] = {}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float64)
         for row, text in zip(out, texts):
-            slots = [_slot(word) for word in text.lower().split(" ") if word]
+            slots = [self._code(word) for word in text.lower().split(" ") if word]
             if slots:
                 code = np.asarray(slots, dtype=np.int64)
                 np.add.at(row, (code >> 1) % self.dim, 1.0 - 2.0 * (code & 1))
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1.0, norms)
 
-
-@lru_cache(maxsize=200_000)
-def _slot(word: str) -> int:
-    return int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16)
+    def _code(self, word: str) -> int:
+        """The word's hash, remembered while the vocabulary stays small."""
+        code = self.codes.get(word)
+        if code is None:
+            code = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16)
+            if len(self.codes) < 200_000:
+                self.codes[word] = code
+        return code
 
 
 def encode(
