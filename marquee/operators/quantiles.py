@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,19 +40,27 @@ def exact_quantiles(
         if not wide:
             break
         fences = [f for f in fences if f not in wide] + _narrow(spark, values, wide)
-    # At most columns x quantiles rows, so this side is safe to broadcast.
-    bounds = F.broadcast(spark.createDataFrame(fences, FENCES))
+    # Quantiles that still share a fence are ranked together. At most columns x quantiles rows, so safe to broadcast.
+    bounds = spark.createDataFrame(fences, FENCES)
+    shared = bounds.select("column", "lo", "hi", "below", "n").distinct()
     per_value = _fenced(values, fences).groupBy("column", "v").agg(F.count("*").alias("m"))
-    per_value = per_value.join(bounds, "column").filter(F.col("v").between(F.col("lo"), F.col("hi")))
-    upto = Window.partitionBy("column", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    per_value = per_value.join(F.broadcast(shared), "column").filter(F.col("v").between(F.col("lo"), F.col("hi")))
+    upto = Window.partitionBy("column", "lo", "hi").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = per_value.withColumn("upto", F.col("below") + F.sum("m").over(upto))
-    rank = F.col("p") * (F.col("n") - 1)
-    ranked = ranked.withColumn("k", F.floor(rank)).withColumn("part", rank - F.floor(rank))
-    picked = ranked.groupBy("column", "p", "part").agg(
-        F.min(F.when(F.col("upto") > F.col("k"), F.col("v"))).alias("low"),
-        F.min(F.when(F.col("upto") > F.col("k") + 1, F.col("v"))).alias("high"),
-    )
-    step = F.when(F.col("part") > 0, (F.col("high") - F.col("low")) * F.col("part")).otherwise(F.lit(0.0))
+
+    def first_above(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") > rank, F.col("v")))
+
+    ranks = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    neighbours = [
+        F.struct(F.lit(float(p)).alias("p"), first_above(F.floor(rank)).alias("low"), first_above(F.floor(rank) + 1).alias("high"))
+        for p, rank in zip(probs, ranks)
+    ]
+    picked = ranked.groupBy("column", "lo", "hi", "n").agg(F.array(*neighbours).alias("_picked"))
+    picked = picked.select("column", "lo", "hi", "n", F.inline("_picked"))
+    picked = picked.join(F.broadcast(bounds.select("column", "lo", "hi", "p")), ["column", "lo", "hi", "p"])
+    part = F.col("p") * (F.col("n") - 1) - F.floor(F.col("p") * (F.col("n") - 1))
+    step = F.when(part > 0, (F.col("high") - F.col("low")) * part).otherwise(F.lit(0.0))
     return picked.select("column", "p", (F.col("low") + step).alias("quantile"))
 
 
