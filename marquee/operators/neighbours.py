@@ -178,9 +178,10 @@ def nearest_for_all(vectors: DataFrame, k: int = 10, block_rows: int = 4096) ->
     bounded = spark.read.parquet(path)
 
     parts = F.lit([max(1, math.ceil(n / block_rows)) for n in _dense(sizes, len(pivots))])
-    visits = bounded.select(
-        "id", "embedding", F.concat_ws(":", "cell", "part").alias("home"),
-        F.explode(_reachable(pivots, sizes)(F.col("embedding"), F.col("reach"))).alias("to_cell"),
+    # Declared non-deterministic so that the test for empty arrays, which explode implies, reuses the column.
+    cells_in_reach = _reachable(pivots, sizes).asNondeterministic()("embedding", "reach")
+    visits = bounded.withColumn("_cells", cells_in_reach).select(
+        "id", "embedding", F.concat_ws(":", "cell", "part").alias("home"), F.explode("_cells").alias("to_cell")
     )
     every_part = F.sequence(F.lit(0), F.element_at(parts, F.col("to_cell") + 1) - 1)
     visits = visits.withColumn("to_part", F.explode(every_part))
