@@ -15,6 +15,7 @@ sets are one class; the rest works on classes.
 
 Edge cases: null and empty texts have empty sets and link with nothing; rows with null ids take part, and a component's id is its smallest
 id that is not null; repeated rows are one class; only the id and text columns are read; an empty table gives an empty result.
+Columns named ``bottomk_*`` are the operator's own.
 """
 
 from __future__ import annotations
@@ -217,6 +218,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT, id_col:
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near duplicates, the one with the smallest id (then text hash); all rows without shingles; all columns of ``docs``."""
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("bottomk_")])
     found = near_duplicates(docs, n, percent, id_col, text_col)
     order = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")
     stay = found.where("root is not null").withColumn("bottomk_nth", F.row_number().over(order)).where("bottomk_nth = 1")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from marquee.llm import arc_convert, bottomk, license_join, norm_topk, quality_cascade, unigram, vector_pack, winnow_lines
+from marquee.llm import arc_convert, bottomk, license_join, norm_topk, quality_cascade, suffix_spans, unigram, vector_pack, weak_quality, winnow_lines
 
 QUERIES = {
     "op1_arc_convert": arc_convert.op1_arc_convert,
     "op2_bottomk": bottomk.op2_bottomk,
     "op3_quality_cascade": quality_cascade.op3_quality_cascade,
     "op4_unigram": unigram.op4_unigram,
+    "op5_weak_quality": weak_quality.op5_weak_quality,
     "op6_license_join": license_join.op6_license_join,
     "op7_norm_topk": norm_topk.op7_norm_topk,
     "op8_winnow_lines": winnow_lines.op8_winnow_lines,
+    "op9_suffix_spans": suffix_spans.op9_suffix_spans,
     "op10_vector_pack": vector_pack.op10_vector_pack,
 }
 SQL = {

@@ -12,6 +12,7 @@ a side with unique keys, whose other side Spark may split.
 
 Edge cases: null text stays null; rows that repeat both id and text are one document and all stay; a run repeated within
 one document keeps its first place; documents under ``min_run`` lines never change; an empty table stays empty.
+Columns named ``winnow_*`` are the operator's own and replaced.
 """
 
 from __future__ import annotations
@@ -56,6 +57,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """All rows and columns of ``docs`` with repeated runs deleted from the text, and ``winnow_lines``, ``winnow_deleted``: its lines before, and how many went."""
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("winnow_")])
     gone = repeated_lines(docs, id_col, text_col, min_run).select(
         F.col("doc").alias("winnow_doc"), F.col("version").alias("winnow_version"), F.col("gone").alias("winnow_gone"),
     )
