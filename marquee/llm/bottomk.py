@@ -3,7 +3,7 @@
 One hash function maps each shingle to 64 bits. A document's sketch is the k smallest values of its set. Texts with equal
 sets are one class; the rest works on classes.
 
-1. Inverted lists. Retained values are ordered by the number of classes that retain them. Two classes similar enough to link share at least t
+1. Inverted lists, one per value and span of sizes that may link. Values are ordered by the number of classes that retain them. Two classes similar enough to link share at least t
    retained values, so they meet in the list of one of each other's rarest s - t + 1 (s values retained): only those make lists. For small sets t follows exactly
    from the threshold; for others it is the threshold less ``MARGIN``, over five standard errors.
 2. Overlaps. First every class of a list meets the list's first class only (a star: as many pairs as members). Pairs whose union sketch
@@ -13,6 +13,8 @@ sets are one class; the rest works on classes.
 4. Exact Jaccard. Full sets of each group's members are compared in blocks of bounded size; groups beyond a block are dealt to pairs of
    blocks. A block returns a spanning forest of its true links, and the components of these are the result.
 
+Joins whose sides grow with the input are merge joins at every size, so that small runs tell how large ones behave.
+
 Edge cases: null and empty texts have empty sets and link with nothing; rows with null ids take part, and a component's id is its smallest
 id that is not null; repeated rows are one class; only the id and text columns are read; an empty table gives an empty result.
 Columns named ``bottomk_*`` are the operator's own.
@@ -84,40 +86,48 @@ def estimate(a: str, b: str) -> F.Column:
 def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose estimate is at least so much."""
     side = classes.select("cls", "sketch")
-    both = pairs.join(side.select(F.col("cls").alias("a"), F.col("sketch").alias("sa")), "a")
-    both = both.join(side.select(F.col("cls").alias("b"), F.col("sketch").alias("sb")), "b")
+    both = pairs.join(side.select(F.col("cls").alias("a"), F.col("sketch").alias("sa")).hint("merge"), "a")
+    both = both.join(side.select(F.col("cls").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b")
     return both.where(estimate("sa", "sb") >= least).select("a", "b")
 
 
 def prefix_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """cls, n and value: each class's rarest retained values that another class retains as well."""
+    """cls, n, value and span: each class's rarest retained values that another class of a like size retains as well.
+
+    A span is two neighbouring size classes, whose ratio is the least that allows the similarity; every class is in two spans, and any two that may link share one.
+    Rarity counts within the span.
+    """
     kept = F.size("sketch")
     small = F.ceil(F.col("n") * percent / 100)  # all shingles of a partner are retained as well
     need = F.when(F.col("n") * 100 <= F.lit(K * percent), small).otherwise(F.lit(math.ceil((percent - MARGIN) * K / 100)))
-    entries = classes.where("n > 0").select("cls", "n", (kept - need + 1).alias("room"), kept.alias("kept"), F.explode("sketch").alias("value"))
-    common = entries.groupBy("value").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    shared = entries.join(common, "value")
-    own = Window.partitionBy("cls")
+    size_class = F.floor(F.log("n") / F.lit(1.0001 * math.log(100 / percent))).cast("int")
+    spans = F.explode(F.array(size_class, size_class - 1)).alias("span")
+    entries = classes.where("n > 0").select("cls", "n", "sketch", (kept - need + 1).alias("room"), kept.alias("kept"), spans)
+    entries = entries.select("cls", "n", "room", "kept", "span", F.explode("sketch").alias("value"))
+    common = entries.groupBy("value", "span").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    shared = entries.join(common.hint("merge"), ["value", "span"])
+    own = Window.partitionBy("cls", "span")
     # Values that nobody shares are the rarest of all and use up the room first.
     ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("holders", "value"))).withColumn("shared", F.count(F.lit(1)).over(own))
-    return ranked.where(F.col("rank") <= F.col("room") - (F.col("kept") - F.col("shared"))).select("cls", "n", "value")
+    return ranked.where(F.col("rank") <= F.col("room") - (F.col("kept") - F.col("shared"))).select("cls", "n", "value", "span")
 
 
 def loose_groups(classes: DataFrame, percent: int) -> DataFrame:
     """node and root: components of a superset of the links."""
+    key = ["value", "span"]
     lists = stored(prefix_lists(classes, percent), "lists")
-    heads = lists.groupBy("value").agg(F.min(F.struct("cls", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    stars = lists.join(heads.select("value", "head"), "value").where(
-        (F.col("cls") != F.col("head.cls")) & (2 * F.least("n", "head.n") >= F.greatest("n", "head.n")))
-    links = stored(estimated(stars.select(F.col("head.cls").alias("a"), F.col("cls").alias("b")).distinct(), classes, LOOSE), "star-links")
+    heads = lists.groupBy(*key).agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    stars = lists.join(heads.select(*key, "head").hint("merge"), key).where(F.col("cls") != F.col("head"))
+    links = stored(estimated(stars.select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), classes, LOOSE), "star-links")
     grouped = components(links)
-    placed = lists.join(grouped.withColumnRenamed("node", "cls"), "cls", "left").select("value", "cls", "n", F.coalesce("root", "cls").alias("root"))
+    placed = lists.join(grouped.withColumnRenamed("node", "cls"), "cls", "left").select(*key, "cls", "n", F.coalesce("root", "cls").alias("root"))
     placed = stored(placed, "placed-lists")
-    apart = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
-    rest = placed.join(apart, "value", "left_semi")
-    one, other = rest.select("value", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), rest.select("value", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    apart = placed.groupBy(*key).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*key)
+    rest = placed.join(apart.hint("merge"), key, "left_semi")
+    one = rest.select(*key, F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    other = rest.select(*key, F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     fits = (F.col("ra") < F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = one.join(other, "value").where(fits).select("a", "b").distinct()
+    pairs = one.join(other.hint("merge"), key).where(fits).select("a", "b").distinct()
     more = estimated(pairs, classes, (percent - MARGIN) / 100)
     return components(links.unionByName(more))
 
@@ -163,7 +173,7 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: int,
     members = stored(members, "group-members")
     shards = max(1, -(-members.count() // SHARD_ROWS))
     wanted = members.select(F.col("first_id").alias("doc_id"), "digest", "cls", "root", "members")
-    found = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("cls", "root", "members", "digest", docs["text"].alias("text"))
+    found = docs.select("doc_id", "text").join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("cls", "root", "members", "digest", docs["text"].alias("text"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +222,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT, id_col:
     placed = stored(placed, "rooted-classes")
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = placed.join(least, "root").select("digest", "root", "component_id")
-    out = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(named.hint("merge"), "digest", "left")
     return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
@@ -220,15 +230,19 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = PERCENT, id_col: st
     """One row of each group of near duplicates, the one with the smallest id (then text hash); all rows without shingles; all columns of ``docs``."""
     docs = docs.drop(*[c for c in docs.columns if c.startswith("bottomk_")])
     found = near_duplicates(docs, n, percent, id_col, text_col)
+    pair = ["doc_id", "text_hash"]
     order = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")
-    stay = found.where("root is not null").withColumn("bottomk_nth", F.row_number().over(order)).where("bottomk_nth = 1")
-    keys = stay.unionByName(found.where("root is null"), allowMissingColumns=True).select(F.col("doc_id").alias("bottomk_id"), F.col("text_hash").alias("bottomk_hash")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("bottomk_id")) & (F.xxhash64(text_col) == F.col("bottomk_hash"))
-    kept = docs.join(keys, same, "left_semi")
+    stay = found.where("root is not null").withColumn("nth", F.row_number().over(order)).where("nth = 1").select(*pair)
     # Rows that repeat both id and text: one stays if it has shingles.
-    once = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1))
-    blank = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return kept.withColumn("bottomk_nth", F.row_number().over(once)).where((F.col("bottomk_nth") == 1) | blank).drop("bottomk_nth")
+    again = found.where("root is not null").groupBy(*pair).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(*pair)
+    keys = stay.unionByName(found.where("root is null").select(*pair)).distinct()
+    twice = again.select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash"), F.lit(True).alias("again"))
+    keys = keys.join(twice, F.col("doc_id").eqNullSafe(F.col("again_id")) & F.col("text_hash").eqNullSafe(F.col("again_hash")), "left")
+    keys = stored(keys.select(F.col("doc_id").alias("bottomk_id"), F.col("text_hash").alias("bottomk_hash"), F.coalesce("again", F.lit(False)).alias("again")), "kept-keys")
+    repeated = stored(keys.where("again"), "repeated-keys")
+    same = F.col(id_col).eqNullSafe(F.col("bottomk_id")) & F.xxhash64(text_col).eqNullSafe(F.col("bottomk_hash"))
+    lone = docs.join(keys.where("not again").hint("merge"), same, "left_semi")
+    return lone.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op2_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
