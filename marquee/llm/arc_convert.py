@@ -43,7 +43,7 @@ ARC_FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 PAGE_HEADER = "X-Page-Id"
-READ_BYTES = 1 << 20
+READ_BYTES = 1 << 18
 
 
 def sha1(data: bytes) -> str:
@@ -74,7 +74,8 @@ class Stream:
     """Exact reads from gzip or plain bytes, decompressed as they are asked for."""
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.buffer, self.position = memoryview(data), 0, b"", 0
+        self.data, self.at, self.position = memoryview(data), 0, 0
+        self.buffer, self.start = b"", 0  # what is read but not taken begins at start
         self.gzip = bytes(data[:2]) == b"\x1f\x8b"
         self.inflater = zlib.decompressobj(31) if self.gzip else None
 
@@ -97,32 +98,35 @@ class Stream:
 
     def line(self, end: bytes) -> bytes | None:
         """The bytes up to ``end``, without it; null at the end of the file."""
-        parts = [self.buffer]
-        found = self.buffer.find(end)
+        found = self.buffer.find(end, self.start)
         while found < 0:
             part = self._more()
             if not part:
-                if self.buffer:
+                if self.start < len(self.buffer):
                     raise ValueError("an archive ends within a header")
                 return None
-            self.buffer += part
+            self.buffer, self.start = self.buffer[self.start :] + part, 0
             found = self.buffer.find(end)
-        parts, self.buffer = self.buffer[:found], self.buffer[found + len(end) :]
-        self.position += found + len(end)
-        return parts
+        line = self.buffer[self.start : found]
+        self.position += found + len(end) - self.start
+        self.start = found + len(end)
+        return line
 
     def take(self, n: int) -> bytes:
-        parts, have = [self.buffer], len(self.buffer)
-        while have < n:
-            part = self._more()
-            if not part:
-                raise ValueError("an archive ends within a record")
-            parts.append(part)
-            have += len(part)
-        data = b"".join(parts)
-        self.buffer = data[n:]
+        have = len(self.buffer) - self.start
+        if have < n:
+            parts = [self.buffer[self.start :]]
+            while have < n:
+                part = self._more()
+                if not part:
+                    raise ValueError("an archive ends within a record")
+                parts.append(part)
+                have += len(part)
+            self.buffer, self.start = b"".join(parts), 0
+        data = self.buffer[self.start : self.start + n]
+        self.start += n
         self.position += n
-        return data[:n]
+        return data
 
 
 def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -192,7 +196,8 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def _write(records: DataFrame, path: str, line_end: str) -> None:
     """Records (binary column ``record``) to gzip files, one per task."""
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", line_end).option("compression", "gzip").text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", line_end).option(
+        "compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
