@@ -11,6 +11,8 @@
 A frequent passage is no hot spot: the sort also orders by class and place, so equal suffixes spread over partitions; passages are reduced to their first
 occurrence before the shuffle, and joined to a side with unique keys.
 
+Joins whose sides grow with the input are merge joins at every size, so that small runs tell how large ones behave.
+
 Edge cases: null and short texts have no passages; in self-overlapping repeats (one word a thousand times) the first occurrence stays whole; rows that repeat both id and text are
 copies of one row and stay; null ids come last; an empty table gives an empty result. Columns named ``suffix_*`` are the operator's own.
 """
@@ -126,9 +128,7 @@ def equal_neighbours(entries: DataFrame) -> DataFrame:
         if lasts[p] == firsts[q]:
             touching |= {(p, 2), (q, 1)}
     found = ranked.where("again").select("cls", "place")
-    for p, side in sorted(touching):
-        found = found.union(ranked.where((F.col("part") == p) & (F.col("border").bitwiseAND(F.lit(side)) > 0) & ~F.col("again")).select("cls", "place")) if len(touching) <= 8 else found
-    if len(touching) > 8:
+    if touching:
         edge = spark.createDataFrame(sorted(touching), "part int, side int")
         lone = ranked.where("border > 0 and not again").join(F.broadcast(edge), "part").where(F.col("border").bitwiseAND(F.col("side")) > 0)
         found = found.union(lone.select("cls", "place").distinct())
@@ -192,7 +192,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = classes.select("cls", "first_id", "digest", "n_words")
     wanted = places.join(names, "cls").select("cls", "places", F.col("first_id").alias("doc_id"), "digest")
     same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (F.unhex(F.md5(texts["text"])) == wanted["digest"])
-    found = texts.join(wanted, same).select("cls", "places", texts["text"].alias("text"))
+    found = texts.join(wanted.hint("merge"), same).select("cls", "places", texts["text"].alias("text"))
     windows = stored(passages(found), "passages")
     occurrence = F.struct("cls", "start")
     firsts = windows.groupBy("h1", "h2").agg(F.min(occurrence).alias("first"), F.max(occurrence).alias("last")).where("first <> last").select("h1", "h2", "first")
@@ -224,7 +224,7 @@ def without_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spans = repeated_spans(docs, id_col, text_col).groupBy(F.col("doc_id").alias("suffix_id"), F.col("digest").alias("suffix_digest")).agg(
         F.collect_set(F.struct("start_word", "end_word")).alias("suffix_spans"))
     on = docs[id_col].eqNullSafe(spans["suffix_id"]) & (F.unhex(F.md5(docs[text_col])) == spans["suffix_digest"])
-    joined = docs.join(spans, on, "left").drop("suffix_id", "suffix_digest")
+    joined = docs.join(spans.hint("merge"), on, "left").drop("suffix_id", "suffix_digest")
     at = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

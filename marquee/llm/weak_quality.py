@@ -119,7 +119,7 @@ def votes(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def fitted(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float, np.ndarray]:
+def fitted(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float, np.ndarray]:
     """EM: each labeller's vote distribution per class [labeller, class, vote], the share of the bad class, and each pattern's posterior."""
     bad, good = (patterns == BAD).sum(1), (patterns == GOOD).sum(1)
     q = (2 * bad + 0.1) / (2 * bad + good + 1.0)
@@ -234,7 +234,7 @@ def scorers(docs: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, dict
     total = pool.count()
     if not total:
         return np.zeros(size, np.float32), models
-    spread = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.05 * SAMPLE_ROWS / total)) + 1
+    spread = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 0.95 * SAMPLE_ROWS / total)) + 1
     chosen = pool.where(spread).limit(SAMPLE_ROWS).dropDuplicates(["doc_id", "text_hash"])
     sample = docs.withColumn("text_hash", F.xxhash64("text")).join(
         F.broadcast(chosen.withColumnRenamed("doc_id", "chosen_id").withColumnRenamed("text_hash", "chosen_hash")),  # at most SAMPLE_ROWS short rows
