@@ -76,16 +76,36 @@ def violations(name: str, df: DataFrame, rules: TableRules, tables: Mapping[str,
     return reduce(DataFrame.unionByName, parts).select(F.lit(name).alias("table"), "constraint", "offending")
 
 
+def insert_violations(name: str, batch: DataFrame, stored: DataFrame | None, rules: TableRules, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """``violations`` of the batch, and one row per key with the batch's rows whose key is stored already."""
+    report = violations(name, batch, rules, tables)
+    if stored is None:
+        return report
+    for label, key in [("primary_key:" + ",".join(rules.primary_key), rules.primary_key), *[(f"unique:{c}", [c]) for c in rules.unique]]:
+        clash = batch.dropna(subset=list(key)).join(stored.select(*key).distinct(), list(key), "left_semi")
+        counted = clash.agg(F.count("*").alias("offending"))
+        report = report.unionByName(counted.select(F.lit(name).alias("table"), F.lit(f"stored_{label}").alias("constraint"), "offending"))
+    return report
+
+
 class ConstraintError(ValueError):
     """Raised when a table breaks its declared constraints."""
 
 
 def enforce(name: str, df: DataFrame, rules: TableRules, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Return the table unchanged, or raise with the broken constraints (one small row each)."""
-    broken = violations(name, df, rules, tables).filter("offending > 0").collect()
+    return _raise(violations(name, df, rules, tables)) or df
+
+
+def enforce_insert(name: str, batch: DataFrame, stored: DataFrame | None, rules: TableRules, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Return the batch unchanged, or raise with the constraints that adding it to the stored rows would break."""
+    return _raise(insert_violations(name, batch, stored, rules, tables)) or batch
+
+
+def _raise(report: DataFrame) -> None:
+    broken = report.filter("offending > 0").collect()
     if broken:
         raise ConstraintError("; ".join(f"{r['table']} {r['constraint']}: {r['offending']}" for r in broken))
-    return df
 
 
 def delete_cascade(df: DataFrame, column: str, deleted: DataFrame, deleted_key: str = "id") -> DataFrame:

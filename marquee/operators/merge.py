@@ -17,8 +17,8 @@ from marquee.operators.dedup import first_by_key, last_value
 def absent_rows(target: DataFrame, batch: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows to insert: of each key the first in the batch, if the target lacks the key."""
     columns = [c for c in batch.columns if c in target.columns]
-    fresh = batch.join(target.select(*key), list(key), "left_anti")
-    return first_by_key(fresh, key, order).select(columns)
+    firsts = first_by_key(batch, key, order)
+    return firsts.join(target.select(*key), list(key), "left_anti").select(columns)
 
 
 def upsert(

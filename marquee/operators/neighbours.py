@@ -1,12 +1,12 @@
 """Nearest neighbours by cosine similarity, exact at every size.
 
 One reference is compared with every vector in Arrow batches (``nearest``), or only with the cells of an
-index that can hold a neighbour (``VectorIndex``). ``nearest_for_all`` finds the neighbours of every vector: vectors are
-put into blocks of bounded size around pivots, and blocks too far apart to matter never meet.
+index that can hold a neighbour (``VectorIndex``). ``nearest_for_all`` finds the neighbours of every vector exactly, in tiles of a grid;
+``approximate_for_many`` those of many references in the nearest cells of an index only.
 
 On unit vectors the squared distance is ``2 - 2 * cosine``, so the triangle inequality of distances
 tells which cells are too far away; nothing that could be a neighbour is skipped. Vectors of length zero
-have no direction: they rank last for ``nearest`` and take no part elsewhere.
+have no direction: they rank last for one reference, indexed or not, and take no part elsewhere.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ def choose_pivots(vectors: DataFrame, cells: int) -> np.ndarray:
     """Up to ``cells`` unit vectors, picked by the hash of their id so that every run picks the same."""
     picked = vectors.filter(F.size("embedding") > 0).orderBy(F.xxhash64("id"), "id").limit(min(cells, MOST_PIVOTS))
     rows = [r["embedding"] for r in picked.select("embedding").collect()]
+    if not rows:
+        return np.zeros((0, 0))
     unit = unit_rows(np.asarray(rows, dtype=np.float64))
     return unit[~np.isnan(unit).any(axis=1)]
 
@@ -60,7 +62,9 @@ def _distances(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def assign_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(id, embedding, cell, away): the nearest pivot of each vector and the distance to it."""
+    """(id, embedding, cell, away): the nearest pivot of each vector and the distance to it; cell -1 holds those without direction."""
+    if not len(pivots):
+        return vectors.filter(F.col("embedding").isNotNull()).select("id", "embedding", F.lit(-1).alias("cell"), F.lit(0.0).alias("away"))
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     @F.arrow_udf("struct<cell:int,away:double>")
@@ -71,10 +75,10 @@ def assign_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
         away = np.where(lost, 0.0, dist[np.arange(len(dist)), np.maximum(cell, 0)])
         return pa.StructArray.from_arrays([pa.array(cell), pa.array(away)], ["cell", "away"])
 
-    # Declared non-deterministic so that the filter below does not evaluate it a second time.
+    # Declared non-deterministic so that reading both fields does not evaluate it twice.
     cell = place.asNondeterministic()("embedding").alias("_p")
     placed = vectors.filter(F.col("embedding").isNotNull()).select("id", "embedding", cell)
-    return placed.select("id", "embedding", "_p.cell", "_p.away").filter("cell >= 0")
+    return placed.select("id", "embedding", "_p.cell", "_p.away")
 
 
 def cell_sizes(placed: DataFrame) -> list[tuple[int, int, float]]:
@@ -110,7 +114,7 @@ class VectorIndex:
             spread = salted.repartition("cell", "part").sortWithinPartitions("cell", "away").drop("part", "parts")
             spread.write.mode("errorifexists").partitionBy("cell").parquet(path)
             placed = vectors.sparkSession.read.schema("id bigint, embedding array<float>, away double, cell int").parquet(path)
-        return cls(placed, pivots, cell_sizes(placed))
+        return cls(placed, pivots, cell_sizes(placed.filter("cell >= 0")))
 
     def search(self, reference: list[float], k: int, exclude: int | None = None, allowed: DataFrame | None = None, probes: int | None = None) -> DataFrame:
         """(id, similarity) of the k nearest, the same rows an exhaustive comparison gives.
@@ -120,6 +124,8 @@ class VectorIndex:
         restricts the ids.
         """
         unit = unit_rows(np.asarray([reference], dtype=np.float64))
+        if not len(self.pivots) or np.isnan(unit).any():
+            return self._top(self.vectors, reference, k, exclude, allowed)
         to_pivot = _distances(unit, self.pivots)[0]
         ranked = sorted(self.cells, key=lambda c: to_pivot[c[0]])
         first, held = [], 0
@@ -136,10 +142,13 @@ class VectorIndex:
         limit = math.sqrt(max(0.0, 2.0 - 2.0 * known[-1])) + SLACK if len(known) == k else math.inf
         seen = self.vectors.sparkSession.createDataFrame(found, best.schema)
         rest = [c for c, _, radius in self.cells if c not in first and to_pivot[c] - radius <= limit]
+        if math.isinf(limit):  # too few so far: vectors without direction come after all others
+            rest.append(-1)
         if not rest:
             return seen
-        gap = F.abs(F.element_at(F.lit([float(d) for d in to_pivot]), F.col("cell") + 1) - F.col("away"))
-        more = self._top(self.vectors.filter(F.col("cell").isin(rest) & (gap <= limit)), reference, k, exclude, allowed)
+        gap = F.abs(F.get(F.lit([float(d) for d in to_pivot]), F.col("cell")) - F.col("away"))
+        near = F.col("cell").isin(rest) & ((gap <= limit) | (F.col("cell") < 0))
+        more = self._top(self.vectors.filter(near), reference, k, exclude, allowed)
         return seen.unionByName(more).orderBy(*by_similarity()).limit(k)
 
     @staticmethod
@@ -152,54 +161,45 @@ class VectorIndex:
 # ---- the neighbours of every vector -------------------------------------------------------------------------------
 
 
-def nearest_for_all(vectors: DataFrame, k: int = 10, block_rows: int = 4096) -> DataFrame:
+def nearest_for_all(vectors: DataFrame, k: int = 10, tile_rows: int = 65_536) -> DataFrame:
     """(id, rank, neighbour, similarity): the k nearest other vectors of each vector.
 
-    Vectors go into blocks of about ``block_rows`` inside their cell; a crowded cell just has more blocks. A vector's own block
-    gives an upper bound for its k-th distance, and it then visits only blocks of cells within that bound. A task compares one
-    block of visitors with one block of residents and hands on k rows per visitor.
+    Rows are dealt by hash to parts of about ``tile_rows``; a task compares one part's rows with another's, one tile of the grid, and hands on k
+    rows for each. A vector is copied twice per part, the root of the number of tiles, and all tiles are of a size, whatever the vectors are like. The arithmetic is that
+    of all pairs; for large tables that need not be exact there is ``approximate_for_many``.
     """
-    spark = vectors.sparkSession
-    cells = min(MOST_PIVOTS, max(1, math.ceil(vectors.count() / block_rows)))
-    pivots = choose_pivots(vectors, cells)
-    if len(pivots) == 0:
-        return spark.createDataFrame([], "id bigint, rank int, neighbour bigint, similarity double")
-    placed = assign_cells(vectors, pivots)
-    sizes = cell_sizes(placed)
-    blocked = placed.withColumn("part", _part(sizes, block_rows))
-    if len(sizes) == 1 and sizes[0][1] <= block_rows:
-        ranked = blocked.groupBy("cell").applyInArrow(_own_block(k, False), RANKED)
-        return _ranked(ranked, k)
-
-    # Computed once and stored where all executors reach it: three later steps read it.
-    path = fresh_path(spark, "neighbours")
-    schema = "id bigint, embedding array<float>, cell int, part int, reach double"
-    blocked.groupBy("cell", "part").applyInArrow(_own_block(k, True), schema).write.parquet(path)
-    bounded = spark.read.parquet(path)
-
-    parts = F.lit([max(1, math.ceil(n / block_rows)) for n in _dense(sizes, len(pivots))])
-    # Declared non-deterministic so that the test for empty arrays, which explode implies, reuses the column.
-    cells_in_reach = _reachable(pivots, sizes).asNondeterministic()("embedding", "reach")
-    visits = bounded.withColumn("_cells", cells_in_reach).select(
-        "id", "embedding", F.concat_ws(":", "cell", "part").alias("home"), F.explode("_cells").alias("to_cell")
-    )
-    every_part = F.sequence(F.lit(0), F.element_at(parts, F.col("to_cell") + 1) - 1)
-    visits = visits.withColumn("to_part", F.explode(every_part))
-    met = visits.select(F.col("home").alias("guest"), F.col("to_cell").alias("cell"), F.col("to_part").alias("part")).distinct()
-    residents = spark.read.parquet(path).select("id", "embedding", "cell", "part").join(met, ["cell", "part"])
-    guests, hosts = visits.groupBy("home", "to_cell", "to_part"), residents.groupBy("guest", "cell", "part")
-    pairs = guests.cogroup(hosts).applyInArrow(_visit(k), RANKED)
-    return _ranked(pairs, k)
+    whole = vectors.filter(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)).select("id", "embedding")
+    parts = max(1, math.ceil(vectors.count() / tile_rows))
+    own = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    rows, columns = whole.withColumn("row", own).withColumn("column", other), whole.withColumn("column", own).withColumn("row", other)
+    tiles = rows.groupBy("row", "column").cogroup(columns.groupBy("row", "column")).applyInArrow(_visit(k), RANKED)
+    return _ranked(tiles, k)
 
 
-def _dense(sizes: list[tuple[int, int, float]], cells: int) -> list[int]:
-    rows = {cell: n for cell, n, _ in sizes}
-    return [rows.get(i, 0) for i in range(cells)]
+def approximate_for_many(index: VectorIndex, references: DataFrame, k: int = 10, probes: int = 4, part_rows: int = 65_536) -> DataFrame:
+    """(id, rank, neighbour, similarity) of each reference (id, embedding) among the vectors of its ``probes`` nearest cells.
+
+    More probes find more true neighbours; measure the recall on some references against ``nearest_for_all`` or ``nearest``. Large cells
+    are split into parts, each compared in a task of its own.
+    """
+    pivots = index.pivots
 
+    @F.arrow_udf("array<int>")
+    def cells(column: pa.Array) -> pa.Array:
+        dist = _distances(unit_rows(matrix_of(column, pivots.shape[1])), pivots)
+        return pa.array(np.argsort(dist, axis=1, kind="stable")[:, :probes].astype(np.int32).tolist(), pa.list_(pa.int32()))
 
-def _part(sizes: list[tuple[int, int, float]], block_rows: int) -> Column:
-    parts = [max(1, math.ceil(n / block_rows)) for n in _dense(sizes, max(c for c, _, _ in sizes) + 1)]
-    return F.pmod(F.xxhash64("id"), F.element_at(F.lit(parts), F.col("cell") + 1)).cast("int")
+    counts = [(cell, max(1, math.ceil(rows / part_rows))) for cell, rows, _ in index.cells]
+    spark = index.vectors.sparkSession
+    if not counts:
+        return spark.createDataFrame([], "id bigint, rank int, neighbour bigint, similarity double")
+    sizes = F.broadcast(spark.createDataFrame(counts, "cell int, parts int"))  # a row per pivot
+    asked = references.filter(F.exists("embedding", lambda x: x != 0)).select("id", "embedding", F.explode(cells.asNondeterministic()("embedding")).alias("cell"))
+    asked = asked.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    held = index.vectors.filter("cell >= 0").join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("id", "embedding", "cell", "part")
+    pairs = asked.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInArrow(_visit(k), RANKED)
+    return _ranked(pairs, k)
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -236,37 +236,6 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], unit[order]
 
 
-def _own_block(k: int, bound_only: bool):
-    def run(table: pa.Table) -> pa.Table:
-        ids, unit = _unpack(table)
-        row, neighbour, score = _top_k(ids, unit, ids, unit, k)
-        if not bound_only:
-            return pa.table({"id": ids[row], "neighbour": neighbour, "similarity": score})
-        reach = np.full(len(ids), np.inf)
-        counts = np.bincount(row, minlength=len(ids))
-        last = np.cumsum(counts) - 1
-        full = counts == k
-        reach[full] = np.sqrt(np.clip(2.0 - 2.0 * score[last[full]], 0.0, None)) + SLACK
-        by_id = pa.array(reach[np.searchsorted(ids, table.column("id").to_numpy())])
-        return table.select(["id", "embedding", "cell", "part"]).append_column("reach", by_id)
-
-    return run
-
-
-def _reachable(pivots: np.ndarray, sizes: list[tuple[int, int, float]]):
-    cells = np.asarray([c for c, _, _ in sizes], dtype=np.int32)
-    radius = np.asarray([r for _, _, r in sizes])
-
-    @F.arrow_udf("array<int>")
-    def reachable(column: pa.Array, reach: pa.Array) -> pa.Array:
-        dist = _distances(unit_rows(matrix_of(column, pivots.shape[1])), pivots[cells])
-        near = dist - radius[None, :] <= reach.to_numpy(zero_copy_only=False)[:, None]
-        offsets = np.concatenate([[0], np.cumsum(near.sum(axis=1))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells[np.nonzero(near)[1]]))
-
-    return reachable
-
-
 def _visit(k: int):
     def run(visitors: pa.Table, residents: pa.Table) -> pa.Table:
         if visitors.num_rows == 0 or residents.num_rows == 0:

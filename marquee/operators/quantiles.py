@@ -1,8 +1,8 @@
 """Exact interpolated quantiles of columns of any size.
 
-The built-in exact percentile gathers every distinct value in one task. Here each wanted rank is first
-fenced in by approximate percentiles, whose rank error is known, until few enough values lie between the fences; those
-are counted per value and ranked. The driver only sees the fences: one row per column and quantile.
+The built-in exact percentile gathers every distinct value in one task. Here values are counted first, sorted into ranges by column
+and value, and summed up within each range; one small row per column and range gives what lies before it. Every wanted rank is then found
+where it stands. The driver sees nothing but the plan.
 """
 
 from __future__ import annotations
@@ -11,13 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-FENCES = T.StructType([
-    T.StructField("column", T.StringType()), T.StructField("p", T.DoubleType()), T.StructField("lo", T.DoubleType()),
-    T.StructField("hi", T.DoubleType()), T.StructField("below", T.LongType()), T.StructField("inside", T.LongType()),
-    T.StructField("n", T.LongType()),
-])
+from marquee.session import staged
+
 ACCURACY = 10_000
 
 
@@ -26,87 +22,37 @@ def _long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*cells))).filter(F.col("v").isNotNull())
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.5, 0.9, 0.99), few: int = 1_000_000, rounds: int = 8
-) -> DataFrame:
-    """(column, p, quantile) with linear interpolation between the two neighbouring ranks."""
-    spark = df.sparkSession
-    values = _long_form(df, columns)
-    counts = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.count("*").alias("n")).collect()}
-    open_ended = (float("-inf"), float("inf"), 0)
-    fences = [(c, float(p), *open_ended, counts[c], counts[c]) for c in columns if counts.get(c) for p in probs]
-    for _ in range(rounds):
-        wide = [f for f in fences if f[5] > few and f[2] < f[3]]
-        if not wide:
-            break
-        fences = [f for f in fences if f not in wide] + _narrow(spark, values, wide)
-    # Quantiles that still share a fence are ranked together. At most columns x quantiles rows, so safe to broadcast.
-    bounds = spark.createDataFrame(fences, FENCES)
-    shared = bounds.select("column", "lo", "hi", "below", "n").distinct()
-    per_value = _fenced(values, fences).groupBy("column", "v").agg(F.count("*").alias("m"))
-    per_value = per_value.join(F.broadcast(shared), "column").filter(F.col("v").between(F.col("lo"), F.col("hi")))
-    upto = Window.partitionBy("column", "lo", "hi").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = per_value.withColumn("upto", F.col("below") + F.sum("m").over(upto))
-
-    def first_above(rank: Column) -> Column:
-        return F.min(F.when(F.col("upto") > rank, F.col("v")))
-
-    ranks = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
-    neighbours = [
-        F.struct(F.lit(float(p)).alias("p"), first_above(F.floor(rank)).alias("low"), first_above(F.floor(rank) + 1).alias("high"))
-        for p, rank in zip(probs, ranks)
-    ]
-    picked = ranked.groupBy("column", "lo", "hi", "n").agg(F.array(*neighbours).alias("_picked"))
-    picked = picked.select("column", "lo", "hi", "n", F.inline("_picked"))
-    picked = picked.join(F.broadcast(bounds.select("column", "lo", "hi", "p")), ["column", "lo", "hi", "p"])
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """(column, p, quantile) with linear interpolation between the two neighbouring ranks; columns without values are left out."""
+    counted = _long_form(df, columns).groupBy("column", "v").agg(F.count("*").alias("m"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_values = counted.repartitionByRange(ranges, "column", "v")
+    placed = staged(sorted_values.withColumn("part", F.spark_partition_id()), "quantiles")
+    # One row per column and range: how many values lie before it, and how many there are.
+    totals = placed.groupBy("column", "part").agg(F.sum("m").alias("size"))
+    earlier = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        "column", "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy("column")).alias("n")
+    )
+    upto = Window.partitionBy("column", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.withColumn("upto", F.sum("m").over(upto)).join(totals, ["column", "part"]).withColumn("upto", F.col("before") + F.col("upto"))
+
+    def held(rank: Column) -> Column:
+        """Whether the value stands at a rank (from 0)."""
+        return (rank >= F.col("upto") - F.col("m")) & (rank < F.col("upto"))
+
+    picks = []
+    for p in probs:
+        rank = F.lit(float(p)) * (F.col("n") - 1)
+        low, high = F.floor(rank), F.least(F.floor(rank) + 1, F.col("n") - 1)
+        picks += [(p, F.min(F.when(held(low), F.col("v"))), F.min(F.when(held(high), F.col("v"))))]
+    found = ranked.groupBy("column").agg(
+        F.max("n").alias("n"), F.array(*[F.struct(F.lit(float(p)).alias("p"), low.alias("low"), high.alias("high")) for p, low, high in picks]).alias("_picked")
+    )
+    found = found.select("column", "n", F.inline("_picked"))
     part = F.col("p") * (F.col("n") - 1) - F.floor(F.col("p") * (F.col("n") - 1))
     step = F.when(part > 0, (F.col("high") - F.col("low")) * part).otherwise(F.lit(0.0))
-    return picked.select("column", "p", (F.col("low") + step).alias("quantile"))
-
-
-def _fenced(values: DataFrame, fences: list[tuple]) -> DataFrame:
-    """The values inside at least one fence of their column."""
-    within = F.lit(False)
-    for column, _, lo, hi, *_ in fences:
-        within = within | ((F.col("column") == column) & F.col("v").between(F.lit(lo), F.lit(hi)))
-    return values.filter(within)
-
-
-def _narrow(spark, values: DataFrame, fences: list[tuple]) -> list[tuple]:
-    """Tighter fences around each wanted rank, or the old ones where the guess missed the rank."""
-    asked = []
-    for column, p, lo, hi, below, inside, n in fences:
-        at = (p * (n - 1) - below) / inside
-        asked.append((column, p, lo, hi, below, inside, n, max(0.0, at - 3 / ACCURACY), min(1.0, at + 3 / ACCURACY)))
-    schema = T.StructType([*FENCES.fields, T.StructField("from", T.DoubleType()), T.StructField("to", T.DoubleType())])
-    bounds = F.broadcast(spark.createDataFrame(asked, schema))
-    inside = values.join(bounds, "column").filter(F.col("v").between(F.col("lo"), F.col("hi")))
-    # One sketch per fence; the percentages must be constant, so each fence is its own aggregate.
-    sketches = [
-        F.percentile_approx(
-            F.when((F.col("column") == column) & (F.col("p") == p), F.col("v")), [start, stop], ACCURACY
-        ).alias(f"s{i}")
-        for i, (column, p, _, _, _, _, _, start, stop) in enumerate(asked)
-    ]
-    found = inside.agg(*sketches).first()
-    guess = [(column, p, *found[f"s{i}"]) for i, (column, p, *_) in enumerate(asked)]
-    new = F.broadcast(spark.createDataFrame(guess, "column string, p double, new_lo double, new_hi double"))
-    tally = (
-        inside.join(new, ["column", "p"])
-        .groupBy("column", "p", "new_lo", "new_hi")
-        .agg(F.count_if(F.col("v") < F.col("new_lo")).alias("under"),
-             F.count_if(F.col("v").between(F.col("new_lo"), F.col("new_hi"))).alias("within"))
-    )
-    seen = {(r["column"], r["p"]): r for r in tally.collect()}
-    out = []
-    for fence in fences:
-        column, p, _, _, below, _, n = fence
-        r, rank = seen[(column, p)], p * (n - 1)
-        start, stop = below + r["under"], below + r["under"] + r["within"]
-        needed_to = min(int(rank) + 1, n - 1)
-        hit = start <= int(rank) and needed_to < stop
-        out.append((column, p, r["new_lo"], r["new_hi"], start, r["within"], n) if hit else fence)
-    return out
+    return found.select("column", "p", (F.col("low") + step).alias("quantile"))
 
 
 def approximate_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:

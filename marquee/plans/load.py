@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from marquee import schemas
 from marquee.functions.text import zero_padded_id
 from marquee.operators import nested
-from marquee.operators.integrity import delete_cascade, delete_set_null, enforce, keep_existing
+from marquee.operators.dedup import first_by_key
+from marquee.operators.integrity import delete_cascade, delete_set_null, enforce_insert, keep_existing
 from marquee.operators.merge import absent_rows
+from marquee.session import staged
 from marquee.sources.tables import TableStore, conform
 
 
@@ -79,59 +81,81 @@ FAMILIES = (
 KEYWORDS = Family("keywords", "movie_keywords", "keywords", nested.id_name_items)
 
 
-def add_entities(store: TableStore, name: str, rows: DataFrame) -> int:
-    """Insert entities whose key the stored table lacks; returns how many were new."""
-    rows = conform(rows, schemas.schema(name))
+def _insert(store: TableStore, name: str, rows: DataFrame) -> int:
+    """Check every declared constraint of the rows, against the stored ones too, and append them."""
+    rules = schemas.RULES[name]
+    parents = {table: store.read(table) for table, _ in (rules.references or {}).values()}
+    rows = staged(conform(rows, schemas.schema(name)), f"load-{name}")
+    return store.append(name, enforce_insert(name, rows, store.read(name) if store.exists(name) else None, rules, parents))
+
+
+def _without_stored(store: TableStore, name: str, rows: DataFrame, on_conflict: str) -> DataFrame:
+    """With ``skip`` the rows whose primary key is not stored, the first of each; with ``error`` all."""
+    if on_conflict not in ("error", "skip"):
+        raise ValueError(f"on_conflict is 'error' or 'skip', not {on_conflict!r}")
+    if on_conflict == "error":
+        return rows
     key = list(schemas.RULES[name].primary_key)
-    if not store.exists(name):
-        return store.append(name, rows)
-    return store.append(name, absent_rows(store.read(name), rows, key, [c for c in rows.columns if c not in key]))
+    order = [c for c in rows.columns if c not in key] or key
+    firsts = first_by_key(rows, key, order)
+    return absent_rows(store.read(name), firsts, key, order) if store.exists(name) else firsts
+
+
+def add_entities(store: TableStore, name: str, rows: DataFrame) -> int:
+    """Insert entities whose key the stored table lacks; returns how many were new. A new key with a stored unique value is an error."""
+    return _insert(store, name, _without_stored(store, name, conform(rows, schemas.schema(name)), "skip"))
 
 
-def add_links(store: TableStore, name: str, rows: DataFrame) -> int:
-    """Append link rows whose movie is stored; returns how many."""
-    kept = keep_existing(rows, "movie_id", store.read("movies"))
-    return store.append(name, conform(kept, schemas.schema(name)))
+def add_links(store: TableStore, name: str, rows: DataFrame, on_conflict: str = "error") -> int:
+    """Append link rows whose movie is stored; returns how many. A key that is stored already is an error or skipped."""
+    kept = conform(keep_existing(rows, "movie_id", store.read("movies")), schemas.schema(name))
+    return _insert(store, name, _without_stored(store, name, kept, on_conflict))
 
 
-def load_movies(store: TableStore, cleaned: DataFrame, order: Sequence[str]) -> dict[str, int]:
+def load_movies(store: TableStore, cleaned: DataFrame, order: Sequence[str], on_conflict: str = "error") -> dict[str, int]:
     found = nested.collections(cleaned, "belongs_to_collection", order)
     counts = {"collections": add_entities(store, "collections", found)}
-    rows = enforce("movies", movie_rows(cleaned), schemas.RULES["movies"], {"collections": store.read("collections")})
-    counts["movies"] = store.append("movies", rows)
+    rows = conform(movie_rows(cleaned), schemas.schema("movies"))
+    counts["movies"] = _insert(store, "movies", _without_stored(store, "movies", rows, on_conflict))
     return counts
 
 
-def load_families(store: TableStore, cleaned: DataFrame, keywords: DataFrame, order: Sequence[str]) -> dict[str, int]:
+def load_families(store: TableStore, cleaned: DataFrame, keywords: DataFrame, order: Sequence[str], on_conflict: str = "error") -> dict[str, int]:
     counts = {}
     for family, source in [*[(f, cleaned) for f in FAMILIES], (KEYWORDS, keywords)]:
         entities, links = family.tables(source, "id", order)
         counts[family.entity] = add_entities(store, family.entity, entities)
-        counts[family.link] = add_links(store, family.link, links)
+        counts[family.link] = add_links(store, family.link, links, on_conflict)
     return counts
 
 
-def load_credits(store: TableStore, credits: DataFrame, order: Sequence[str]) -> dict[str, int]:
-    cast_rows = nested.cast_items(credits, "id", "cast", order)
-    crew_rows = nested.crew_items(credits, "id", "crew", order)
+def load_credits(store: TableStore, credits: DataFrame, order: Sequence[str], on_conflict: str = "error") -> dict[str, int]:
+    # Each cell is parsed once; people and both link tables read the stored items.
+    cast_rows = staged(nested.cast_items(credits, "id", "cast", order), "cast-items")
+    crew_rows = staged(nested.crew_items(credits, "id", "crew", order), "crew-items")
     return {
         "people": add_entities(store, "people", nested.people(cast_rows, crew_rows, order)),
-        "movie_cast": add_links(store, "movie_cast", nested.cast_table(cast_rows, order)),
-        "movie_crew": add_links(store, "movie_crew", nested.crew_table(crew_rows, order)),
+        "movie_cast": add_links(store, "movie_cast", nested.cast_table(cast_rows, order), on_conflict),
+        "movie_crew": add_links(store, "movie_crew", nested.crew_table(crew_rows, order), on_conflict),
     }
 
 
-def load_links(store: TableStore, links: DataFrame) -> dict[str, int]:
-    return {"external_ids": add_links(store, "external_ids", external_id_rows(links))}
+def load_links(store: TableStore, links: DataFrame, on_conflict: str = "error") -> dict[str, int]:
+    return {"external_ids": add_links(store, "external_ids", external_id_rows(links), on_conflict)}
 
 
 def load_catalogue(
-    store: TableStore, movies: DataFrame, credits: DataFrame, keywords: DataFrame, links: DataFrame, order: Sequence[str]
+    store: TableStore, movies: DataFrame, credits: DataFrame, keywords: DataFrame, links: DataFrame, order: Sequence[str], on_conflict: str = "error"
 ) -> dict[str, int]:
-    """Load all cleaned files into the store, in dependency order; returns rows added per table."""
+    """Load all cleaned files into the store, in dependency order; returns rows added per table.
+
+    Movies or links whose key is stored already (a second load) are an error, or left out with ``on_conflict="skip"``; entities keep their
+    first row, as ever. The inputs are computed once.
+    """
+    movies, credits, keywords, links = (staged(df, "load-input") for df in (movies, credits, keywords, links))
     return {
-        **load_movies(store, movies, order), **load_families(store, movies, keywords, order),
-        **load_credits(store, credits, order), **load_links(store, links),
+        **load_movies(store, movies, order, on_conflict), **load_families(store, movies, keywords, order, on_conflict),
+        **load_credits(store, credits, order, on_conflict), **load_links(store, links, on_conflict),
     }
 
 

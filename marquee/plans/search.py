@@ -88,6 +88,14 @@ def results(catalogue: Catalogue, query: str) -> Page:
 ROWS_PER_TASK = 1_000_000
 
 
+def checked_queries(queries: DataFrame) -> DataFrame:
+    """(query_id, query, error): stripped of white space as a single query is; ``error`` names why a query is refused, else it is null."""
+    text = F.regexp_replace("query", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    fits = F.length("query").between(SHORTEST_QUERY, LONGEST_QUERY)
+    stripped = queries.select("query_id", text.alias("query"))
+    return stripped.withColumn("error", F.when(~F.coalesce(fits, F.lit(False)), F.lit("invalid_search_query")))
+
+
 def _pieces(form: Column) -> Column:
     """Distinct two-character pieces of a text, and the empty piece that every text has."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(form) - 1, F.lit(1)))
@@ -98,14 +106,14 @@ def _pieces(form: Column) -> Column:
 def search_many(
     movies: DataFrame, queries: DataFrame, k: int = SUGGESTIONS, literal: bool = False, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """The k best matches of every query in a table (query_id, query), as ranked rows.
+    """The k best matches of every query in a table (query_id, query), as ranked rows; a refused query has one row with its ``error``.
 
     Queries and titles meet by an equi-join on a two-character piece: every text that contains the query holds
     all pieces of it, so it is enough to compare under the query's rarest piece. A piece of many titles is spread
     over several tasks. Movies with equal titles score alike, so beforehand each distinct title keeps its k most popular.
     """
-    queries = queries.select("query_id", F.trim("query").alias("query"))
-    queries = queries.filter(F.length("query").between(SHORTEST_QUERY, LONGEST_QUERY))
+    refused = checked_queries(queries).filter(F.col("error").isNotNull())
+    queries = checked_queries(queries).filter(F.col("error").isNull()).select("query_id", "query")
     movies = movies if "title_form" in movies.columns else with_search_forms(movies)
     popular = [F.col("popularity").desc_nulls_last(), F.col("id").asc()]
     place = F.row_number().over(Window.partitionBy("title_form", "original_form").orderBy(*popular))
@@ -132,4 +140,5 @@ def search_many(
     found = keyed.join(sought, ["piece", "task"]).filter(match).withColumn("relevance_score", score)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), *popular))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "id", "title", "popularity", "relevance_score")
+    answers = ranked.select("query_id", "rank", "id", "title", "popularity", "relevance_score", F.lit(None).cast("string").alias("error"))
+    return answers.unionByName(refused.select("query_id", "error"), allowMissingColumns=True)

@@ -63,11 +63,8 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a stored table of few files out to all cores before work that is heavy on the CPU.
-
-    A file may be one unsplittable piece to the scan, and then one task would do all the work. With at least as many files
-    as cores, as any large table has, nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back, so that several steps share one computation."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,8 @@
 """Stored tables as Parquet folders with numbered versions.
 
-A rewrite goes to the next version and becomes visible when Spark commits it (its ``_SUCCESS``
-marker), so a job never overwrites what it reads and a lost executor or driver leaves the previous
-version in place.
+A table is its newest version and that version's added segments, each a folder of its own that becomes visible when Spark commits it (its
+``_SUCCESS`` marker). A job never writes into what is read, additions appear whole or not at all, and a job that dies leaves an unmarked folder
+whose number is not used again.
 """
 
 from __future__ import annotations
@@ -31,41 +31,58 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self, name: str) -> list[int]:
+    def _folders(self, name: str) -> list[tuple[int, int, bool]]:
+        """(version, segment, committed) of every folder, also of failed writes; segment 0 is the version itself."""
         jvm = self.spark._jvm
         folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(folder):
             return []
-        found = [status.getPath() for status in fs.listStatus(folder)]
-        done = [p for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName().removeprefix("v")) for p in done)
+        found = []
+        for status in fs.listStatus(folder):
+            version, _, segment = status.getPath().getName().removeprefix("v").partition("-")
+            found.append((int(version), int(segment or 0), fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))))
+        return sorted(found)
+
+    def _path(self, name: str, version: int, segment: int) -> str:
+        return f"{self.root}/{name}/v{version:06d}" + (f"-{segment:06d}" if segment else "")
+
+    def _current(self, name: str) -> list[tuple[int, int]]:
+        """Version and segments that make up the table."""
+        done = [(v, s) for v, s, committed in self._folders(name) if committed]
+        version = max((v for v, s in done if s == 0), default=None)
+        return [(v, s) for v, s in done if v == version]
 
     def exists(self, name: str) -> bool:
-        return bool(self._versions(name))
+        return bool(self._current(name))
 
-    def path(self, name: str) -> str:
-        versions = self._versions(name)
-        if not versions:
+    def paths(self, name: str) -> list[str]:
+        """The folders of the newest version and its segments."""
+        current = self._current(name)
+        if not current:
             raise FileNotFoundError(f"no stored table {name} below {self.root}")
-        return f"{self.root}/{name}/v{versions[-1]:06d}"
+        return [self._path(name, *c) for c in current]
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return self.spark.read.parquet(*self.paths(name))
 
     def replace(self, name: str, df: DataFrame, sort_by: Sequence[str] = ()) -> int:
         """Write a new version and return its row count; ``sort_by`` clusters rows inside each file
         so that readers can skip row groups by their minimum and maximum."""
-        versions = self._versions(name)
-        target = f"{self.root}/{name}/v{(versions[-1] + 1 if versions else 1):06d}"
-        return self._write(df.sortWithinPartitions(*sort_by) if sort_by else df, target, "errorifexists")
+        version = max((v for v, _, _ in self._folders(name)), default=0) + 1
+        return self._write(df.sortWithinPartitions(*sort_by) if sort_by else df, self._path(name, version, 0))
 
     def append(self, name: str, df: DataFrame) -> int:
         """Add rows to the current version (the first one if there is none) and return how many."""
-        return self._write(df, self.path(name), "append") if self.exists(name) else self.replace(name, df)
+        current = self._current(name)
+        if not current:
+            return self.replace(name, df)
+        version = current[0][0]
+        segment = max(s for v, s, _ in self._folders(name) if v == version) + 1
+        return self._write(df, self._path(name, version, segment))
 
     @staticmethod
-    def _write(df: DataFrame, path: str, mode: str) -> int:
+    def _write(df: DataFrame, path: str) -> int:
         seen = Observation()
-        df.observe(seen, F.count("*").alias("rows")).write.mode(mode).parquet(path)
+        df.observe(seen, F.count("*").alias("rows")).write.mode("errorifexists").parquet(path)
         return seen.get["rows"]

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from marquee.operators import cleaning as c
 from marquee.operators import dedup
 from marquee.plans import load, prepare
-from marquee.session import spread
 from marquee.workloads import query, table
 
 ROW = ["row_no"]
@@ -16,7 +15,7 @@ ROW = ["row_no"]
 
 def raw_films(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders dressed up as a raw film file: all text, with every defect the rules are about."""
-    o = spread(table(spark, sf_dir, "orders"))
+    o = table(spark, sf_dir, "orders")
     status, prio, key = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderkey")
     text = key.cast("string")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
@@ -180,7 +179,7 @@ def fill_missing_status(spark, sf_dir):
 @query(f"""select doc_id, md5(trim(regexp_replace(chr(160) || ' ' || text || chr(9) || chr(160), '{SPACE}', ' ', 'g'))) as text_md5 from documents""")
 def tidy_space(spark, sf_dir):
     padded = F.concat(F.lit("  "), F.col("text"), F.lit("\t "))
-    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("text", padded)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("text", padded)
     return c.clean(rows, c.tidy_space("text")).select("doc_id", F.md5("text").alias("text_md5"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.plans import embed
-from marquee.session import spread
 from marquee.workloads import query, table
 
 
@@ -81,7 +80,7 @@ HOW = {"make_encoder": small_encoder, "model": "hash-64", "dim": DIM}
 
 @query(f"with t as (select doc_id as id, text from documents), {HASHED} select * from vectors")
 def encode_texts(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     docs = docs.withColumn("source_text_hash", F.sha2("text", 256))
     return long_form(embed.encode(docs, **HOW))
 

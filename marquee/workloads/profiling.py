@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.operators import profile as p
-from marquee.session import spread
 from marquee.workloads import query, table
 from marquee.workloads.cleaning import RAW_FILMS, raw_films
 from marquee.workloads.nested import cells
@@ -59,7 +58,7 @@ select c as "column", p, round(case p when 0.5 then q[1] when 0.9 then q[2] else
   select quantile_cont(l_extendedprice, [0.5, 0.9, 0.99]) as l_extendedprice, quantile_cont(l_quantity, [0.5, 0.9, 0.99]) as l_quantity from lineitem)
   unpivot (q for c in (l_extendedprice, l_quantity)), (values (0.5::double), (0.9), (0.99)) t(p)""")
 def profile_quantiles(spark, sf_dir):
-    lines = spread(table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity"))
+    lines = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity")
     return rounded(p.quantiles(lines, lines.columns), "quantile")
 
 

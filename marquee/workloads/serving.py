@@ -11,7 +11,6 @@ from marquee.operators import dedup, neighbours
 from marquee.operators.arrays import empty_if_null
 from marquee.plans import browse, details, search, similar
 from marquee.plans.catalogue import Catalogue, genre_arrays, genre_names, summary
-from marquee.session import spread
 from marquee.workloads import query, table
 
 # ---- orders as movies, return flags of their lines as genres ---------------------------------------------------------
@@ -169,12 +168,14 @@ def suggestions(spark, sf_dir):
 
 @query(f"""with {TITLES}, w as (select distinct split_part(p_name, ' ', 1) as a, split_part(p_name, ' ', 2) as b from part),
 q as (select a as query_id, a as query from w union select a || '+' || b, a || '-' || upper(b) from w union select a || '%' || b, substr(a, 1, 1) || '%' || b from w
-  union select '_' || a, '_' || substr(a, 2, 1) from w),
-n as (select query_id, replace(lower(query), '-', ' ') as n from q),
+  union select '_' || a, '_' || substr(a, 2, 1) from w union select 'pad ' || a, chr(9) || a || '  ' from w
+  union select 'short ' || a, ' ' || substr(a, 1, 1) from w union select 'long ' || a, repeat(a, 101) from w),
+n as (select query_id, replace(lower(trim(query, ' ' || chr(9))), '-', ' ') as n from q where query_id not like 'short %' and query_id not like 'long %'),
 h as (select query_id, id, title, popularity, case when tf = n then 100 when tf like n || '%' then 50 when tf like '%' || n || '%' then 10 else 5 end as relevance_score
   from n, forms where tf like '%' || n || '%' or rf like '%' || n || '%'),
 r as (select *, row_number() over (partition by query_id order by relevance_score desc, popularity desc nulls last, id) as rank from h)
-select query_id, rank::integer as rank, id, title, relevance_score from r where rank <= 8""")
+select query_id, rank::integer as rank, id, title, relevance_score, null::varchar as error from r where rank <= 8
+union all select query_id, null, null, null, null, 'invalid_search_query' from q where query_id like 'short %' or query_id like 'long %'""")
 def search_many(spark, sf_dir):
     words = table(spark, sf_dir, "part").select(
         F.split_part("p_name", F.lit(" "), F.lit(1)).alias("a"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("b")
@@ -182,16 +183,17 @@ def search_many(spark, sf_dir):
     kinds = [
         (F.col("a"), F.col("a")), (F.concat("a", F.lit("+"), "b"), F.concat("a", F.lit("-"), F.upper("b"))),
         (F.concat("a", F.lit("%"), "b"), F.concat(F.substring("a", 1, 1), F.lit("%"), "b")),
-        (F.concat(F.lit("_"), "a"), F.concat(F.lit("_"), F.substring("a", 2, 1))),
+        (F.concat(F.lit("_"), "a"), F.concat(F.lit("_"), F.substring("a", 2, 1))), (F.concat(F.lit("pad "), "a"), F.concat(F.lit("\t"), "a", F.lit("  "))),
+        (F.concat(F.lit("short "), "a"), F.concat(F.lit(" "), F.substring("a", 1, 1))), (F.concat(F.lit("long "), "a"), F.repeat("a", F.lit(101))),
     ]
     queries = words.select(F.inline(F.array(*[F.struct(i.alias("query_id"), q.alias("query")) for i, q in kinds]))).distinct()
     found = search.search_many(part_catalogue(spark, sf_dir).movies, queries)
-    return found.select("query_id", "rank", "id", "title", "relevance_score")
+    return found.select("query_id", "rank", "id", "title", "relevance_score", "error")
 
 
 @query("select doc_id, md5(replace(lower(replace(strip_accents(text), 'ß', 'ss')), '-', ' ')) as form_md5 from documents")
 def search_form_of_texts(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.md5(search_form(F.col("text"))).alias("form_md5"))
 
 
@@ -251,10 +253,22 @@ r as (select *, row_number() over (partition by id order by similarity desc, nei
 select id, rank::integer as rank, neighbour, round(similarity, 6) as similarity from r where rank <= 10""")
 def similar_for_all(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    ranked = neighbours.nearest_for_all(vectors, 10)
+    ranked = neighbours.nearest_for_all(vectors, 10, tile_rows=64)
     return ranked.withColumn("similarity", F.round("similarity", 6))
 
 
+@query("select count(*) as queries, true as recall_reached from embeddings where vec_id % 10 = 0")
+def similar_approximate(spark, sf_dir):
+    """Recall of the cell index for a tenth of the vectors against the exact neighbours of all."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = neighbours.shared_index(vectors, cells=16)
+    asked = vectors.filter("id % 10 = 0")
+    near = neighbours.approximate_for_many(index, asked, 10, probes=8).select("id", "neighbour", F.lit(1).alias("found"))
+    exact = neighbours.nearest_for_all(vectors, 10, tile_rows=512).select("id", "neighbour").filter("id % 10 = 0")
+    per_query = exact.join(near, ["id", "neighbour"], "left").groupBy("id").agg((F.count("found") / F.count("*")).alias("recall"))
+    return per_query.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("recall_reached"))
+
+
 @query("""
 with v as (select vec_id, embedding::double[] as e from embeddings)
 select v.vec_id as id, round(list_cosine_similarity(v.e, r.e), 6) as similarity from v, (select e from v where vec_id = 11) r where v.vec_id <> 11""")

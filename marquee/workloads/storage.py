@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marquee import schemas
 from marquee.operators import dedup, integrity, merge
+from marquee.plans import load
 from marquee.session import fresh_path
 from marquee.sources import raw_files
 from marquee.sources.tables import TableStore, conform
@@ -176,3 +178,35 @@ def orphan_report(spark, sf_dir):
         ("documents without labels", t("documents"), "doc_id", t("labels"), "doc_id"),
         ("orders without lines", t("orders"), "o_orderkey", t("lineitem"), "l_orderkey"),
     ])
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> tuple[TableStore, DataFrame, DataFrame]:
+    """A store with movies from ``part`` and genres from ``region``, loaded once, and the rows of a second load."""
+    store = TableStore(spark, fresh_path(spark, "twice"))
+    load.add_entities(store, "genres", table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")))
+    filled = {"id": F.col("p_partkey"), "title": F.col("p_name"), "status": F.lit("Released"), "adult": F.lit(False)}
+    movies = table(spark, sf_dir, "part").select(*[filled.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.schema("movies").fields])
+    links = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("movie_id"), (F.col("p_size") % 5).alias("genre_id"))
+    store.append("movies", movies)
+    load.add_links(store, "movie_genres", links)
+    return store, movies, links
+
+
+@query("""
+select 'movie_genres' as "table", k as "constraint", n as offending from (select 'not_null:movie_id' as k, 0 as n union all select 'not_null:genre_id', 0
+  union all select 'primary_key:movie_id,genre_id', 0 union all select 'references:movie_id->movies.id', 0 union all select 'references:genre_id->genres.id', 0
+  union all select 'stored_primary_key:movie_id,genre_id', count(*) from part)""")
+def load_rejects_repeats(spark, sf_dir):
+    store, _, links = _loaded(spark, sf_dir)
+    batch = conform(links, schemas.schema("movie_genres"))
+    parents = {name: store.read(name) for name in ("movies", "genres")}
+    return integrity.insert_violations("movie_genres", batch, store.read("movie_genres"), schemas.RULES["movie_genres"], parents)
+
+
+@query("""select 'genres' as name, count(*) as rows, 0::bigint as added from region union all select 'movie_genres', count(*), 0 from part""")
+def load_is_idempotent(spark, sf_dir):
+    store, _, links = _loaded(spark, sf_dir)
+    again = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    added = {"genres": load.add_entities(store, "genres", again), "movie_genres": load.add_links(store, "movie_genres", links, on_conflict="skip")}
+    counted = [store.read(name).agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.lit(n).cast("long").alias("added")) for name, n in added.items()]
+    return counted[0].unionByName(counted[1])

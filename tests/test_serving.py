@@ -103,13 +103,15 @@ def test_wildcards_are_live_unless_literal(catalogue):
 
 
 def test_search_many_agrees_with_single_searches(spark, catalogue):
-    texts = ["matrix", "the", "m_tr%x", "%%", "x%", "amelie", "zz", " wolf ", "0%", "a", "ma", "spider man", "__", "%x"]
+    texts = ["matrix", "the", "m_tr%x", "%%", "x%", "amelie", "zz", " wolf ", "0%", "a", "ma", "spider man", "__", "%x", "\tmatrix\u00a0", "x" * 101]
     queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
     for rows_per_task in (1_000_000, 1):
         many = search.search_many(catalogue.movies, queries, 5, rows_per_task=rows_per_task).collect()
         for i, text in enumerate(texts):
-            got = [r["id"] for r in sorted(many, key=lambda r: r["rank"]) if r["query_id"] == i]
-            assert got == ([] if len(text.strip()) < 2 else ids(search.search(catalogue, text).items)[:5]), text
+            mine = [r for r in many if r["query_id"] == i]
+            assert [r["error"] for r in mine if r["error"]] == (["invalid_search_query"] if len(text.strip()) < 2 or len(text.strip()) > 100 else []), text
+            got = [r["id"] for r in sorted((r for r in mine if not r["error"]), key=lambda r: r["rank"])]
+            assert got == ([] if not 2 <= len(text.strip()) <= 100 else ids(search.search(catalogue, text).items)[:5]), text
 
 
 def test_like_text(spark):
@@ -167,12 +169,12 @@ def brute(points, k):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [4096, 40, 7])
-def test_neighbours_of_all_are_exact(cloud, block_rows):
+@pytest.mark.parametrize("tile_rows", [4096, 40, 17])
+def test_neighbours_of_all_are_exact(cloud, tile_rows):
     points, df = cloud
     want = {i: v for i, v in brute(points, 5).items() if i != 17}
     got = {}
-    for r in nn.nearest_for_all(df, 5, block_rows).collect():
+    for r in nn.nearest_for_all(df, 5, tile_rows).collect():
         got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
     assert {i: [n for _, n in sorted(v)] for i, v in got.items()} == want
 
@@ -186,6 +188,17 @@ def test_index_search_is_exact(spark, cloud):
     few = df.filter("id < 50").select("id")
     assert set(ids(index.search(nn.reference_vector(df, 0), 100, 0, few))) == set(range(1, 50)) - {17}
     assert len(ids(index.search(nn.reference_vector(df, 0), 5, 0, probes=1))) == 5
+    # A vector without direction comes last, as in the exhaustive search.
+    assert ids(index.search(nn.reference_vector(df, 0), 239, 0))[-1] == 17
+    every = {(r["id"], r["rank"], r["neighbour"]) for r in nn.approximate_for_many(index, df, 5, probes=9, part_rows=30).collect()}
+    assert every == {(r["id"], r["rank"], r["neighbour"]) for r in nn.nearest_for_all(df, 5).collect()}
+
+
+def test_no_vectors(spark):
+    none = spark.createDataFrame([], "id bigint, embedding array<float>")
+    assert nn.nearest_for_all(none, 3).count() == 0
+    index = nn.VectorIndex.build(none)
+    assert index.search([1.0, 2.0], 3).count() == 0 and nn.approximate_for_many(index, none).count() == 0
 
 
 def test_details(spark, catalogue):
