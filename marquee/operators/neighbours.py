@@ -195,7 +195,8 @@ def approximate_for_many(index: VectorIndex, references: DataFrame, k: int = 10,
     if not counts:
         return spark.createDataFrame([], "id bigint, rank int, neighbour bigint, similarity double")
     sizes = F.broadcast(spark.createDataFrame(counts, "cell int, parts int"))  # a row per pivot
-    asked = references.filter(F.exists("embedding", lambda x: x != 0)).select("id", "embedding", F.explode(cells.asNondeterministic()("embedding")).alias("cell"))
+    # Aliases keep the two sides apart where they come from one table.
+    asked = references.filter(F.exists("embedding", lambda x: x != 0)).select(F.col("id").alias("id"), F.col("embedding").alias("embedding"), F.explode(cells.asNondeterministic()("embedding")).alias("cell"))
     asked = asked.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     held = index.vectors.filter("cell >= 0").join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("id", "embedding", "cell", "part")
     pairs = asked.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInArrow(_visit(k), RANKED)

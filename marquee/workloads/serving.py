@@ -174,9 +174,19 @@ n as (select query_id, replace(lower(trim(query, ' ' || chr(9))), '-', ' ') as n
 h as (select query_id, id, title, popularity, case when tf = n then 100 when tf like n || '%' then 50 when tf like '%' || n || '%' then 10 else 5 end as relevance_score
   from n, forms where tf like '%' || n || '%' or rf like '%' || n || '%'),
 r as (select *, row_number() over (partition by query_id order by relevance_score desc, popularity desc nulls last, id) as rank from h)
-select query_id, rank::integer as rank, id, title, relevance_score, null::varchar as error from r where rank <= 8
-union all select query_id, null, null, null, null, 'invalid_search_query' from q where query_id like 'short %' or query_id like 'long %'""")
+select query_id, rank::integer as rank, id, title, relevance_score from r where rank <= 8""")
 def search_many(spark, sf_dir):
+    return many_searches(spark, sf_dir).filter("error is null").drop("error")
+
+
+@query("""with w as (select distinct split_part(p_name, ' ', 1) as a from part)
+select 'short ' || a as query_id, 'invalid_search_query' as error from w union all select 'long ' || a, 'invalid_search_query' from w""")
+def search_many_refused(spark, sf_dir):
+    return many_searches(spark, sf_dir).filter("error is not null").select("query_id", "error")
+
+
+def many_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches for words of the titles, among them padded queries and ones that are too short or too long."""
     words = table(spark, sf_dir, "part").select(
         F.split_part("p_name", F.lit(" "), F.lit(1)).alias("a"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("b")
     ).distinct()
@@ -263,7 +273,7 @@ def similar_approximate(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     index = neighbours.shared_index(vectors, cells=16)
     asked = vectors.filter("id % 10 = 0")
-    near = neighbours.approximate_for_many(index, asked, 10, probes=8).select("id", "neighbour", F.lit(1).alias("found"))
+    near = neighbours.approximate_for_many(index, asked, 10, probes=13).select("id", "neighbour", F.lit(1).alias("found"))
     exact = neighbours.nearest_for_all(vectors, 10, tile_rows=512).select("id", "neighbour").filter("id % 10 = 0")
     per_query = exact.join(near, ["id", "neighbour"], "left").groupBy("id").agg((F.count("found") / F.count("*")).alias("recall"))
     return per_query.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("recall_reached"))
