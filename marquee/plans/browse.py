@@ -75,6 +75,32 @@ def ordering(sort: str = "popularity", direction: str = "desc") -> list[Column]:
     return [column.asc_nulls_last() if direction == "asc" else column.desc_nulls_last(), F.col("id").asc()]
 
 
+def rows_after(movies: DataFrame, sort: str, direction: str, value, movie_id: int) -> DataFrame:
+    """The movies that come after one with this sort value (None: null, which sorts last) and id."""
+    ordering(sort, direction)
+    column, later = F.col(SORT_COLUMNS[sort]), F.col("id") > movie_id
+    if value is None:
+        return movies.filter(column.isNull() & later)
+    beyond = column > F.lit(value) if direction == "asc" else column < F.lit(value)
+    return movies.filter(beyond | ((column == F.lit(value)) & later) | column.isNull())
+
+
+def listing_after(
+    catalogue: Catalogue, filters: Filters = Filters(), sort: str = "popularity", direction: str = "desc",
+    after: tuple | None = None, page_size: int = DEFAULT_PAGE_SIZE,
+) -> DataFrame:
+    """The next rows after ``after``, the (sort value, id) of the last row shown; the first ones without it.
+
+    However deep the page, only ``page_size`` rows are sorted out of what follows, and the scan skips what comes before; ``listing`` with its page
+    numbers sorts its whole offset and is meant for early pages.
+    """
+    check_page(1, page_size)
+    found = matching(catalogue, _checked(filters, sort))
+    found = found if after is None else rows_after(found, sort, direction, *after)
+    keys = found.select("id", "title", "release_date", "poster_path", "vote_average", "vote_count", "popularity")
+    return with_genres(catalogue, summary(keys.orderBy(*ordering(sort, direction)).limit(page_size)))
+
+
 def listing(
     catalogue: Catalogue, filters: Filters = Filters(), sort: str = "popularity", direction: str = "desc",
     page: int = 1, page_size: int = DEFAULT_PAGE_SIZE,

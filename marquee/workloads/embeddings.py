@@ -116,6 +116,33 @@ def embedding_refresh(spark, sf_dir):
     return table_after.select("movie_id", "model_name")
 
 
+@query(f"""
+with t as (select doc_id as id, concat_ws('. ', source, trim(text, ' ')) as text from documents where length(text) >= 30
+  and not (n_chars < 1000 and doc_id in (select vec_id from embeddings))), {HASHED}
+select * from vectors""")
+def embedding_refresh_vectors(spark, sf_dir):
+    """The vectors that a refresh made."""
+    after = embed.refresh(stored_vectors(spark, sf_dir), document_candidates(spark, sf_dir), **HOW)
+    return long_form(after.filter("model_name = 'hash-64'"))
+
+
+@query("""
+select doc_id as movie_id, sha256(concat_ws('. ', source, trim(text, ' '))) as source_text_hash, true as stamped from documents where length(text) >= 30
+  and not (n_chars < 1000 and doc_id in (select vec_id from embeddings))""")
+def embedding_refresh_stamps(spark, sf_dir):
+    """Hash and stamp of what a refresh made: stamps are newer than the stored ones."""
+    after = embed.refresh(stored_vectors(spark, sf_dir), document_candidates(spark, sf_dir), **HOW).filter("model_name = 'hash-64'")
+    return after.select("movie_id", "source_text_hash", (F.col("generated_at") > F.lit("2020-01-01").cast("timestamp")).alias("stamped"))
+
+
+@query("select vec_id as movie_id from embeddings where vec_id % 7 = 0")
+def embedding_misfits(spark, sf_dir):
+    """The vectors of a wrong width, in a table of two widths."""
+    rows = stored_vectors(spark, sf_dir)
+    short = F.when(F.col("movie_id") % 7 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    return embed.wrong_dimension(rows.withColumn("embedding", short), 64).select("movie_id")
+
+
 @query("select vec_id as movie_id from embeddings")
 def embedding_migration_same_size(spark, sf_dir):
     return embed.migrate(stored_vectors(spark, sf_dir), 64).select("movie_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions import display
-from marquee.functions.text import search_form, unaccent
+from marquee.functions.text import register_unaccent, search_form, unaccent
 from marquee.operators import dedup, neighbours
 from marquee.operators.arrays import empty_if_null
 from marquee.plans import browse, details, search, similar
@@ -84,6 +84,36 @@ def browse_by_votes(spark, sf_dir):
     return flat(browse.listing(order_catalogue(spark, sf_dir), sort="voteCount", direction="asc", page=5, page_size=100).items)
 
 
+def after_sql(value: str, beyond: str) -> str:
+    """Two pages after the row at an offset, as one query."""
+    return f"with {MOVIES} select {CARD} from cards order by {value} {beyond} nulls last, id limit 100 offset 150"
+
+
+def second_page(spark: SparkSession, sf_dir: str, sort: str, direction: str) -> DataFrame:
+    """The rows that follow the 150th, found by its sort value and id."""
+    catalogue = order_catalogue(spark, sf_dir)
+    column = browse.SORT_COLUMNS[sort]
+    last = catalogue.movies.select("id", column).orderBy(*browse.ordering(sort, direction)).offset(149).limit(1).first()
+    return flat(browse.listing_after(catalogue, browse.Filters(min_votes=0) if sort == "voteAverage" else browse.Filters(), sort, direction, (last[column], last["id"]), 100))
+
+
+@query(after_sql("popularity", "desc"))
+def browse_after(spark, sf_dir):
+    return second_page(spark, sf_dir, "popularity", "desc")
+
+
+@query(after_sql("vote_count", "asc"))
+def browse_after_ties(spark, sf_dir):
+    return second_page(spark, sf_dir, "voteCount", "asc")
+
+
+@query(f"with {MOVIES} select {CARD} from cards where popularity is null order by id limit 40 offset 10")
+def browse_after_nulls(spark, sf_dir):
+    catalogue = order_catalogue(spark, sf_dir)
+    last = catalogue.movies.filter("popularity is null").orderBy("id").offset(9).limit(1).first()
+    return flat(browse.listing_after(catalogue, after=(None, last["id"]), page_size=40))
+
+
 @query("select distinct 'Genre ' || l_returnflag as name from lineitem")
 def genre_list(spark, sf_dir):
     return genre_names(order_catalogue(spark, sf_dir))
@@ -207,6 +237,12 @@ def search_form_of_texts(spark, sf_dir):
     return docs.select("doc_id", F.md5(search_form(F.col("text"))).alias("form_md5"))
 
 
+@query("select conv_id, turn, md5(replace(strip_accents(text), 'ß', 'ss')) as plain_md5 from conversations")
+def unaccent_in_sql(spark, sf_dir):
+    register_unaccent(spark, "unaccent_text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr("md5(unaccent_text(text))").alias("plain_md5"))
+
+
 @query("select conv_id, turn, md5(replace(strip_accents(text), 'ß', 'ss')) as plain_md5 from conversations")
 def unaccent_texts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(unaccent(F.col("text"))).alias("plain_md5"))
