@@ -1,8 +1,9 @@
 """Quality classification from weak labels.
 
-Heuristic labellers vote bad, good or abstain on every document. A labeller model (each labeller's votes drawn from a distribution of its own per
-class, independent given the class) is fitted by expectation-maximisation to the numbers of all vote patterns, which are exact and at most
-3 per labeller multiplied together. Its posteriors label a bounded sample, on which a linear scorer over hashed features learns; the scorer judges every document.
+Heuristic labellers vote bad or good, or abstain, on every document. Most know one kind of junk, and kinds exclude each other, so the labeller model has one good class and
+one bad class per labeller; each labeller's votes are drawn from a distribution of its own per class, independent given the class. Expectation-maximisation, begun from
+the bad votes, fits these accuracies to the numbers of all vote patterns, which are exact and at most 3 per labeller multiplied together; documents on which all abstain count as good. The posteriors label
+a bounded sample, on which a linear scorer over hashed features learns; the scorer judges every document.
 
 Two such models are fitted: ``quality`` (junk: symbols, shouting, repetition, tables, no sentences, odd word lengths, no function words) and
 ``toxic`` (insults, and reviewers' labels where a table has them: one more labeller, which abstains on other documents). A document is rejected if either
@@ -107,31 +108,34 @@ def votes(texts: pa.Array) -> dict[str, np.ndarray]:
     length = np.bincount(row, ends - starts, minlength=rows) / size
     stops = per_row(ENDS[raw[ends - 1]] > 0) / size
     return {
-        "symbols": vote(symbols > 0.1, symbols < 0.03, known),
-        "shouting": vote(upper > 0.5, upper < 0.25, known),
-        "repetition": vote(distinct < 0.5, distinct > 0.8, known),
-        "table": vote(bars > 0.1, bars == 0, known),
-        "sentences": vote((stops < 0.01) | (stops > 0.6), (stops > 0.02) & (stops < 0.4), known),
-        "word_length": vote((length < 2.5) | (length > 14), (length > 3.5) & (length < 10), known),
-        "function_words": vote(function < 0.02, function > 0.08, known),
-        "insult": vote(some > 0, some < 0, n > 0),
-        "insults": vote(kinds > 1, kinds < 0, n > 0),
+        "symbols": vote(symbols > 0.1, symbols <= 0.1, known),
+        "shouting": vote(upper > 0.5, upper <= 0.5, known),
+        "repetition": vote(distinct < 0.5, distinct >= 0.5, known),
+        "table": vote(bars > 0.1, bars <= 0.1, known),
+        "sentences": vote(stops > 0.7, stops <= 0.7, known),
+        "word_length": vote((length < 2.5) | (length > 14), (length >= 2.5) & (length <= 14), known),
+        "function_words": vote(function < 0.01, function > 0.05, known),
+        "insult": vote(some > 0, some == 0, n > 0),
+        "insults": vote(kinds > 1, kinds <= 1, n > 0),
     }
 
 
 def fitted(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float, np.ndarray]:
-    """EM: each labeller's vote distribution per class [labeller, class, vote], the share of the bad class, and each pattern's posterior."""
-    bad, good = (patterns == BAD).sum(1), (patterns == GOOD).sum(1)
-    q = (2 * bad + 0.1) / (2 * bad + good + 1.0)
+    """EM: each labeller's vote distribution [labeller, class, vote] (class 0 is good), the share of the bad classes, and each pattern's posterior of being bad."""
+    labellers = patterns.shape[1]
+    voted = (patterns != NONE).any(1)
+    counts = counts * voted
+    bad = patterns == BAD
+    q = np.where(bad.any(1)[None, :], np.vstack([np.full(len(patterns), 0.1), 0.9 * bad.T / np.maximum(bad.sum(1), 1)]), np.vstack([np.full(len(patterns), 0.98), np.full((labellers, len(patterns)), 0.02 / labellers)]))
     for _ in range(rounds):
-        weight = np.stack([(1 - q) * counts, q * counts])
-        share = (weight[1].sum() + 1) / (counts.sum() + 2)
-        given = np.stack([[[(w * (patterns[:, j] == v)).sum() + 0.5 for v in range(3)] for w in weight] for j in range(patterns.shape[1])])
+        weight = q * counts
+        share = (weight.sum(1) + 0.5) / (counts.sum() + 0.5 * len(q))
+        given = np.stack([np.stack([(weight * (patterns[:, j] == v)).sum(1) + 0.1 for v in range(3)], 1) for j in range(labellers)])
         given /= given.sum(2, keepdims=True)
-        logs = np.log(given)
-        like = sum(logs[j][:, patterns[:, j]] for j in range(patterns.shape[1])) + np.log([[1 - share], [share]])
-        q = 1 / (1 + np.exp(np.clip(like[0] - like[1], -500, 500)))
-    return given, share, q
+        like = sum(np.log(given[j])[:, patterns[:, j]] for j in range(labellers)) + np.log(share)[:, None]
+        q = np.exp(like - like.max(0))
+        q /= q.sum(0)
+    return given, float(1 - share[0]), np.where(voted, 1 - q[0], 0.0)
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +163,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shared, count = np.unique(row.astype(np.uint64) << np.uint64(BITS) | shapes, return_counts=True)
     owner = np.concatenate([present, shared]) >> np.uint64(BITS)
     owner = owner.astype(np.int64)
-    values = np.concatenate([np.full(len(present), 0.1), 4.0 * count / np.maximum(n, 1)[owner[len(present):]]])
+    values = np.concatenate([np.full(len(present), 0.1), 4.0 * count / (n + 20)[owner[len(present):]]])
     return owner, (np.concatenate([present, shared]) & mask).astype(np.int64), values.astype(np.float32)
 
 
@@ -177,9 +181,6 @@ def learned(row: np.ndarray, index: np.ndarray, value: np.ndarray, target: np.nd
     row, index, value = row[order], index[order], value[order]
     step = 512
     cuts = np.searchsorted(row, np.arange(0, len(target) + step, step))
-    # Both classes count alike.
-    share = np.clip(target.mean(), 0.02, 0.98) if len(target) else 0.5
-    weight = target / (2 * share) + (1 - target) / (2 * (1 - share))
     for _ in range(EPOCHS):
         for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
             low = k * step
@@ -187,7 +188,7 @@ def learned(row: np.ndarray, index: np.ndarray, value: np.ndarray, target: np.nd
             if not len(t):
                 continue
             score = np.bincount(row[a:b] - low, value[a:b] * w[index[a:b]], minlength=len(t)) + w[size]
-            slope = weight[low : low + step] * (1 / (1 + np.exp(-score)) - t)
+            slope = 1 / (1 + np.exp(-score)) - t
             gradient = np.append(np.bincount(index[a:b], value[a:b] * slope[row[a:b] - low], minlength=size), slope.sum())
             seen += gradient * gradient
             w -= 0.5 * gradient / np.sqrt(seen)

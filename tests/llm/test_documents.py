@@ -243,11 +243,10 @@ def test_weak_label_model():
     votes = np.stack([np.where(rng.random(len(truth)) < 0.3, weak_quality.NONE, np.where(rng.random(len(truth)) < a, truth, ~truth)) for a in accuracy], 1).astype(int)
     patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     given, share, q = weak_quality.fitted(patterns, counts.astype(float))
-    assert abs(share - 0.2) < 0.05
+    assert abs(share - 0.2) < 0.08
     for j, a in enumerate(accuracy):
-        voted = given[j][1][:2].sum()
-        assert abs(given[j][1][1] / voted - a) < 0.08
-    assert ((q[where.ravel()] > 0.5) == truth).mean() > 0.9
+        assert abs(given[j][0][0] / given[j][0][:2].sum() - a) < 0.1
+    assert ((q[where.ravel()] > 0.5) == truth).mean() > 0.85
 
 
 def test_classifier_held_out(spark):
@@ -258,7 +257,7 @@ def test_classifier_held_out(spark):
     rows = found.selectExpr("quality", "toxic", weak_quality.KEEP + " as kept", "weak_bad > 0 as junk").collect()
     junk, clean = [r for r in rows if r.quality == 0], [r for r in rows if r.quality == 1 and r.toxic == 0]
     assert sum(r.kept for r in clean) >= 0.95 * len(clean)
-    assert sum(r.junk for r in junk) >= 0.75 * len(junk)
+    assert sum(r.junk for r in junk) >= 0.85 * len(junk)
 
 
 def test_classifier_edges(docs, texts):
