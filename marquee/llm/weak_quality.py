@@ -45,10 +45,14 @@ QUALITY = ("symbols", "shouting", "repetition", "table", "sentences", "word_leng
 TOXIC = ("insult", "insults", "reviewed")
 GOOD, BAD, NONE = 0, 1, 2
 LEAST_WORDS = 20
+#: By so much each round lessens the bad votes of the good class: labellers seldom fire without reason. Without it, a kind of junk that one labeller alone
+#: knows could as well be that labeller's error.
+PRIOR = 0.1
 #: Bound on the sample of rows that the scorers learn from, and on its text.
 SAMPLE_ROWS = 12_000
 BITS = 18
-EPOCHS = 8
+#: Passes over the sample, and steps at least.
+EPOCHS, LEAST_STEPS = 8, 400
 
 
 def _table(chars: str) -> np.ndarray:
@@ -132,6 +136,10 @@ def fitted(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple
         share = (weight.sum(1) + 0.5) / (counts.sum() + 0.5 * len(q))
         given = np.stack([np.stack([(weight * (patterns[:, j] == v)).sum(1) + 0.1 for v in range(3)], 1) for j in range(labellers)])
         given /= given.sum(2, keepdims=True)
+        # The prior shrinks the good class's bad votes in favour of its good ones; abstentions stay as counted.
+        shrunk = given[:, 0, BAD] * (1 - PRIOR)
+        given[:, 0, GOOD] += given[:, 0, BAD] - shrunk
+        given[:, 0, BAD] = shrunk
         like = sum(np.log(given[j])[:, patterns[:, j]] for j in range(labellers)) + np.log(share)[:, None]
         q = np.exp(like - like.max(0))
         q /= q.sum(0)
@@ -179,9 +187,9 @@ def learned(row: np.ndarray, index: np.ndarray, value: np.ndarray, target: np.nd
     row, target = place[row], target[shuffled]
     order = np.argsort(row, kind="stable")
     row, index, value = row[order], index[order], value[order]
-    step = 512
+    step = 128
     cuts = np.searchsorted(row, np.arange(0, len(target) + step, step))
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * step // max(len(target), 1)))):
         for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
             low = k * step
             t = target[low : low + step]
