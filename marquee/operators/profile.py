@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import coerce
-from marquee.operators.integrity import orphans
 from marquee.operators.quantiles import approximate_quantiles, exact_quantiles
 
 # Phrases counted as placeholder text (compared in lower case, not trimmed), and the
@@ -326,15 +325,20 @@ def profile(df: DataFrame, spec: Mapping[str, Sequence[str]]) -> DataFrame:
 
 
 def cross_file_report(movies: DataFrame, credits: DataFrame, keywords: DataFrame, key: str = "id") -> DataFrame:
-    """(measure, n): distinct ids of three files and the ids each lacks of the others."""
-    def ids(df: DataFrame) -> DataFrame:
-        return df.select(coerce.number_of(F.col(key), dict(df.dtypes)[key]).cast("bigint").alias(key)).dropna().distinct()
+    """(measure, n): distinct ids of three files and the ids each lacks of the others. Each file is read once; all ids meet in one shuffle."""
+    def ids(df: DataFrame, mark: int) -> DataFrame:
+        number = coerce.number_of(F.col(key), dict(df.dtypes)[key]).cast("bigint")
+        return df.select(number.alias("id"), F.lit(mark).alias("mark")).filter("id is not null")
+
+    marks = ids(movies, 1).union(ids(credits, 2)).union(ids(keywords, 4)).groupBy("id").agg(F.bit_or("mark").alias("marks"))
+
+    def held(mark: int, without: int = 0) -> Column:
+        inside = F.col("marks").bitwiseAND(F.lit(mark)) > 0
+        return F.count_if(inside & (F.col("marks").bitwiseAND(F.lit(without)) == 0))
 
-    m, c, k = ids(movies), ids(credits), ids(keywords)
     measures = {
-        "movies": m, "credits": c, "keywords": k, "credits_without_movie": orphans(c, key, m, key),
-        "keywords_without_movie": orphans(k, key, m, key), "movies_without_credits": orphans(m, key, c, key),
-        "movies_without_keywords": orphans(m, key, k, key),
+        "movies": held(1), "credits": held(2), "keywords": held(4), "credits_without_movie": held(2, 1), "keywords_without_movie": held(4, 1),
+        "movies_without_credits": held(1, 2), "movies_without_keywords": held(1, 4),
     }
-    parts = [d.agg(F.count("*").alias("n")).select(F.lit(name).alias("measure"), "n") for name, d in measures.items()]
-    return reduce(DataFrame.unionByName, parts)
+    counted = marks.agg(*[count.alias(name) for name, count in measures.items()])
+    return counted.select(F.inline(F.array(*[F.struct(F.lit(name).alias("measure"), F.col(name).alias("n")) for name in measures])))

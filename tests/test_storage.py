@@ -214,3 +214,12 @@ def test_second_load_is_refused_or_skipped(spark):
         load.add_entities(store, "genres", spark.createDataFrame([(2, "Drama")], "id int, name string"))
     with pytest.raises(integrity.ConstraintError, match="references:genre_id"):
         load.add_links(store, "movie_genres", spark.createDataFrame([(1, 9)], "movie_id int, genre_id int"))
+
+
+def test_cross_file_report_reads_each_file_once(spark, tmp_path):
+    for name, n in (("m", 10), ("c", 12), ("k", 8)):
+        spark.range(n).withColumn("id", F.col("id").cast("string")).write.parquet(str(tmp_path / name))
+    report = profile.cross_file_report(*[spark.read.parquet(str(tmp_path / n)) for n in "mck"])
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 3 and plan.count("Exchange hashpartitioning") == 1
+    assert {r["measure"]: r["n"] for r in report.collect()}["credits_without_movie"] == 2
