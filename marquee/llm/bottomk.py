@@ -8,7 +8,7 @@ sets are one class; the rest works on classes.
    from the threshold; for others it is the threshold less ``MARGIN``, over five standard errors.
 2. Overlaps. First every class of a list meets the list's first class only (a star: as many pairs as members). Pairs whose union sketch
    estimates a similarity of ``LOOSE`` or more join; joined classes need not be compared here, as step 4 compares them in full. Classes in one list that are
-   still apart meet in pairs, if their sizes allow the similarity, and must pass the estimate.
+   still apart are compared within tasks, in blocks: their sizes, the overlap of their sketches and the estimate must allow the similarity.
 3. Loose groups are the components of what passed, a superset of the true ones.
 4. Exact Jaccard. Full sets of each group's members are compared in blocks of bounded size; groups beyond a block are dealt to pairs of
    blocks. A block returns a spanning forest of its true links, and the components of these are the result.
@@ -39,6 +39,7 @@ PERCENT = 80
 MARGIN = 28
 LOOSE = 0.35
 BLOCK = 384
+LIST_BLOCK = 512
 SHARD_ROWS = 1024
 
 
@@ -122,21 +123,46 @@ def loose_groups(classes: DataFrame, percent: int) -> DataFrame:
     grouped = components(links)
     placed = lists.join(grouped.withColumnRenamed("node", "cls"), "cls", "left").select(*key, "cls", "n", F.coalesce("root", "cls").alias("root"))
     placed = stored(placed, "placed-lists")
-    apart = placed.groupBy(*key).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*key)
-    rest = placed.join(apart.hint("merge"), key, "left_semi")
-    one = rest.select(*key, F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    other = rest.select(*key, F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    fits = (F.col("ra") < F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = one.join(other.hint("merge"), key).where(fits).select("a", "b").distinct()
-    more = estimated(pairs, classes, (percent - MARGIN) / 100)
-    return components(links.unionByName(more))
+    apart = placed.groupBy(*key).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
+    rest = placed.join(apart.select(*key, "members").hint("merge"), key)
+    return components(links.unionByName(list_links(rest, classes, percent)))
 
 
-def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Edges from the first member to the others of each component of the true links among the sets."""
-    sizes = np.array([len(s) for s in sets])
-    values = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+def list_links(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between groups that meet in a list: for any two, one pair at most whose sizes and union sketch allow the similarity.
+
+    Lists are compared within tasks, long ones in pairs of blocks, so that no row per pair is made. ``rest``: value, span, members, cls, n, root.
+    """
+    sketched = rest.join(classes.select("cls", "sketch").hint("merge"), "cls")
+    shards = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.ceil(F.col("members") / LIST_BLOCK)
+    block = F.pmod(F.xxhash64("cls"), blocks)
+    pairs = F.when(blocks == 1, F.array(F.struct(F.lit(-1).cast("long").alias("low"), F.pmod(F.xxhash64("value", "span"), F.lit(shards)).alias("high")))).otherwise(
+        F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.struct(F.least(block, j).alias("low"), F.greatest(block, j).alias("high"))))
+    dealt = sketched.select("value", "span", "cls", "n", "root", "sketch", F.explode(pairs).alias("at")).select(
+        F.when(F.col("at.low") >= 0, F.xxhash64("value", "span")).otherwise(F.lit(0)).alias("whole"), F.col("at.low").alias("low"), F.col("at.high").alias("high"),
+        "value", "span", "cls", "n", "root", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.take(pa.compute.sort_indices(table, [("value", "ascending"), ("span", "ascending"), ("cls", "ascending")]))
+        value, span, cls, n, root = (np.asarray(table.column(c)) for c in ("value", "span", "cls", "n", "root"))
+        column = table.column("sketch").combine_chunks()
+        offsets, flat = np.asarray(column.offsets).astype(np.int64), np.asarray(column.values)
+        cuts = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (span[1:] != span[:-1]), [True]])).tolist()
+        links: list[tuple[int, int]] = []
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a > 1:
+                found = bridges([flat[offsets[i] : offsets[i + 1]] for i in range(a, b)], n[a:b], root[a:b], percent)
+                links += [(int(cls[a + i]), int(cls[a + j])) for i, j in found]
+        columns = zip(*links) if links else [(), ()]
+        return pa.table([pa.array(list(x), pa.int64()) for x in columns], names=["a", "b"])
+
+    return dealt.groupBy("whole", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values any two of the sets share, from products of 0-1 tables of bounded width."""
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, codes, counts = np.unique(values, return_inverse=True, return_counts=True)
     shared = counts[codes] > 1
     _, codes = np.unique(codes[shared], return_inverse=True)
@@ -147,10 +173,48 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     width = 4096
     for low in range(0, int(codes[-1]) + 1 if len(codes) else 0, width):
         a, b = np.searchsorted(codes, (low, low + width))
-        table = np.zeros((len(sets), width), np.float32)
+        table = np.zeros((len(sets), min(width, int(codes[-1]) + 1 - low)), np.float32)
         table[owner[a:b], codes[a:b] - low] = 1
         common += table @ table.T
-    together = common.astype(np.int64)
+    return common.astype(np.int64)
+
+
+def union_estimate(a: np.ndarray, b: np.ndarray) -> float:
+    """``estimate`` for two sorted sketches."""
+    union = np.unique(np.concatenate([a, b]))[:K]
+    both = np.intersect1d(a, b, assume_unique=False)
+    return float(np.isin(union, both).sum() / len(union))
+
+
+def bridges(sketches: list[np.ndarray], n: np.ndarray, root: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs that join groups of different roots: one for each two groups that become one."""
+    kept = np.array([len(s) for s in sketches])
+    need = np.where(100 * n <= K * percent, -(-n * percent // 100), math.ceil((percent - MARGIN) * K / 100))
+    apart = root[:, None] != root[None, :]
+    fit = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    possible = np.triu(apart & fit, 1)
+    if not possible.any():
+        return []
+    possible &= overlaps(sketches) >= np.minimum(need[:, None], need[None, :])
+    at: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in at:
+            x = at[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(possible))):
+        a, b = top(int(root[i])), top(int(root[j]))
+        if a != b and union_estimate(sketches[i], sketches[j]) >= (percent - MARGIN) / 100:
+            at[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Edges from the first member to the others of each component of the true links among the sets."""
+    sizes, together = np.array([len(s) for s in sets]), overlaps(sets)
     linked = 100 * together >= percent * (sizes[:, None] + sizes[None, :] - together)
     out, seen = [], np.zeros(len(sets), bool)
     for first in range(len(sets)):
