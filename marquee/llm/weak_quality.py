@@ -49,7 +49,7 @@ LEAST_WORDS = 20
 #: knows could as well be that labeller's error.
 PRIOR = 0.1
 #: Bound on the sample of rows that the scorers learn from, and on its text.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 BITS = 18
 #: Passes over the sample, and steps at least.
 EPOCHS, LEAST_STEPS = 8, 400
@@ -179,14 +179,13 @@ def learned(row: np.ndarray, index: np.ndarray, value: np.ndarray, target: np.nd
     """Weights of a logistic scorer (the last is the bias), by adaptive gradient steps over batches in a fixed order."""
     size = 1 << BITS
     w, seen = np.zeros(size + 1), np.full(size + 1, 1e-6)
-    order = np.argsort(row, kind="stable")
-    row, index, value = row[order], index[order], value[order]
     shuffled = np.random.default_rng(5).permutation(len(target))
-    place = np.empty(len(target), np.int64)
+    place = np.empty(len(target), np.int32)
     place[shuffled] = np.arange(len(target))
     row, target = place[row], target[shuffled]
-    order = np.argsort(row, kind="stable")
+    order = np.argsort(row, kind="stable").astype(np.int32)
     row, index, value = row[order], index[order], value[order]
+    del order
     step = 128
     cuts = np.searchsorted(row, np.arange(0, len(target) + step, step))
     for _ in range(max(EPOCHS, -(-LEAST_STEPS * step // max(len(target), 1)))):
@@ -256,13 +255,14 @@ def scorers(docs: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, dict
         for batch in batches:
             for part in pieces(batch, "text"):
                 row, index, value = features(part.column(part.schema.get_field_index("text")))
-                parts.append((row + rows, index, value))
+                parts.append(((row + rows).astype(np.int32), index.astype(np.int32), value))
                 rows += len(part)
                 for k, columns in names.items():
                     cast = zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns))
                     targets[k] += [posterior[k][v] for v in cast]
         if rows:
             row, index, value = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
             weights = [learned(row, index, value, np.array(targets[k])) for k in names]
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(weights)], pa.list_(pa.float32()))], ["weights"])
 
