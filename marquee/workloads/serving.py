@@ -413,6 +413,19 @@ def details_wide(spark, sf_dir):
     return details_flat(details.details(order_tables(spark, sf_dir)))
 
 
+CAST_JSON = """
+select o_orderkey as id, '[' || coalesce(items, '') || ']' as "cast" from orders left join (
+  select l_orderkey as m, string_agg('{"personId":' || l_suppkey || ',"name":"' || s_name || '","character":' || coalesce('"' || role || '"', 'null') || ',"order":' || l_linenumber || '}',
+    ',' order by l_linenumber, l_suppkey) as items
+  from (select *, case when l_returnflag = 'A' then 'Role ' || l_partkey end as role, row_number() over (partition by l_orderkey, l_suppkey, l_linenumber order by l_partkey) as pick
+    from lineitem where l_returnflag <> 'R') join supplier on s_suppkey = l_suppkey where pick = 1 group by l_orderkey) on m = o_orderkey"""
+
+
+@query(CAST_JSON)
+def details_json(spark, sf_dir):
+    return details.cast_json(details.details(order_tables(spark, sf_dir))).select("id", "cast")
+
+
 @query(details_sql("o_orderkey = 42"))
 def details_of_one(spark, sf_dir):
     return details_flat(details.find_by_id(order_tables(spark, sf_dir), 42))
