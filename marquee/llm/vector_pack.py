@@ -31,9 +31,11 @@ SEQUENCE_TOKENS = 2048
 MAX_SEGMENTS = 512
 GROUP_ROWS = 2048
 GROUP_BYTES = 8 << 20
-#: Texts per task that both encoders encode, and the run of non-blanks that only the plain one does.
+#: Texts per task that both encoders encode, and the run of non-blanks or of blanks that only the plain one does.
 CHECKED_TEXTS = 8
 LONG_RUN = 10_000
+#: Looked for from the beginning of each run, so that many runs just shorter take linear time.
+LONG_RUNS = re.compile(rf"(?<!\S)\S{{{LONG_RUN}}}|(?<!\s)\s{{{LONG_RUN}}}")
 
 
 def default_vocabulary() -> str:
@@ -58,7 +60,7 @@ class FastTokenizer:
 
     A merge vocabulary numbers its pieces in the order of merges, so the file's ids serve as ranks for the faster of two encoders of the same
     rule. The plain one encodes the first texts of every task as well and takes over if any id differs, and it encodes texts with runs of ``LONG_RUN``
-    characters without a blank, for which the fast one needs quadratic time.
+    characters without a blank, for which the fast one needs quadratic time, or of as many blanks, on which it fails when they grow to a million.
     """
 
     def __init__(self, path: str):
@@ -77,7 +79,7 @@ class FastTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The packed ids of a text."""
-        if self.fast is None or (len(text) >= LONG_RUN and re.search(rf"\S{{{LONG_RUN}}}", text)):
+        if self.fast is None or (len(text) >= LONG_RUN and LONG_RUNS.search(text)):
             return self._plain(text).tobytes()
         ids = self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.dtype)
         if self.unchecked:

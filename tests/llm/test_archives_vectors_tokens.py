@@ -167,6 +167,19 @@ def test_packing(spark):
     assert vector_pack.pack(frame.limit(0)).count() == 0
 
 
+def test_packing_of_a_million_blanks(spark):
+    """One run of blanks on which the fast encoder fails must not lose the rows beside it."""
+    from tokenizers import Tokenizer
+
+    n = 1_000_000
+    texts = ["first", *("a" + blanks + "b" for blanks in (" " * n, "\n" * n, " \n" * (n // 2), "\t\u00a0" * (n // 2))), "y " * 20_000, "last"]
+    tokenizer, plain = vector_pack.FastTokenizer(vector_pack.default_vocabulary()), Tokenizer.from_file(vector_pack.default_vocabulary())
+    expected = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(tokenizer.encode(t), tokenizer.dtype).tolist() for t in texts] == expected and tokenizer.fast is not None
+    pieces = vector_pack.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "length").collect()
+    assert Counter({i: len(ids) + 1 for i, ids in enumerate(expected)}) == sum((Counter({p.doc_id: p.length}) for p in pieces), Counter())
+
+
 def test_packing_keeps_all_limits():
     rng = np.random.default_rng(0)
     tokens, limits = rng.integers(1, 900, 300), (1000, 4, 500)
