@@ -61,6 +61,7 @@ class FastTokenizer:
     A merge vocabulary numbers its pieces in the order of merges, so the file's ids serve as ranks for the faster of two encoders of the same
     rule. The plain one encodes the first texts of every task as well and takes over if any id differs, and it encodes texts with runs of ``LONG_RUN``
     characters without a blank, for which the fast one needs quadratic time, or of as many blanks, on which it fails when they grow to a million.
+    The plain one alone knows the added tokens of the file (``<|endoftext|>``), so texts that quote one are its own too.
     """
 
     def __init__(self, path: str):
@@ -69,7 +70,7 @@ class FastTokenizer:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.added = [token.content for token in self.plain.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.plain.get_vocab_size() < 1 << 16 else np.uint32
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_vocabulary_bytes(path), special_tokens={})
         self.unchecked = CHECKED_TEXTS
@@ -79,7 +80,7 @@ class FastTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The packed ids of a text."""
-        if self.fast is None or (len(text) >= LONG_RUN and LONG_RUNS.search(text)):
+        if self.fast is None or any(token in text for token in self.added) or (len(text) >= LONG_RUN and LONG_RUNS.search(text)):
             return self._plain(text).tobytes()
         ids = self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.dtype)
         if self.unchecked:

@@ -180,6 +180,20 @@ def test_packing_of_a_million_blanks(spark):
     assert Counter({i: len(ids) + 1 for i, ids in enumerate(expected)}) == sum((Counter({p.doc_id: p.length}) for p in pieces), Counter())
 
 
+def test_packing_of_quoted_added_tokens(spark):
+    """Ids are those of the vocabulary file at its defaults, beyond the texts that both encoders encode as well."""
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "<| endoftext |>", "<|ENDOFTEXT|>", *["plain text"] * 10, "late <|endoftext|>"]
+    plain = Tokenizer.from_file(vector_pack.default_vocabulary())
+    expected = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert expected[0] == [64, 220, 50256, 275]
+    tokenizer = vector_pack.FastTokenizer(vector_pack.default_vocabulary())
+    assert [np.frombuffer(tokenizer.encode(t), tokenizer.dtype).tolist() for t in texts] == expected and tokenizer.fast is not None
+    pieces = vector_pack.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    assert {p.doc_id: np.frombuffer(p.ids, "<u4").tolist() for p in pieces} == {i: [*ids, 1] for i, ids in enumerate(expected)}
+
+
 def test_packing_keeps_all_limits():
     rng = np.random.default_rng(0)
     tokens, limits = rng.integers(1, 900, 300), (1000, 4, 500)
