@@ -7,13 +7,15 @@
    neighbours, those at the borders of sorted partitions through a table of one row per border. Suffixes without an equal neighbour are done.
 4. Around the others matches are extended, left to the passages that have this anchor and right to ``MIN_WORDS`` words: every passage with that anchor is compared in full,
    by 128-bit hashes. The first occurrence (by class, place) stays; the others are repeats, and repeats that overlap or touch grow into maximal spans on both sides.
+   Repeats of an earlier text go whole, also where a first occurrence of another passage holds some of their words; only within a text
+   a first occurrence keeps its words, from repeats whose source overlaps it.
 
 A frequent passage is no hot spot: the sort also orders by class and place, so equal suffixes spread over partitions; passages are reduced to their first
 occurrence before the shuffle, and joined to a side with unique keys.
 
 Joins whose sides grow with the input are merge joins at every size, so that small runs tell how large ones behave.
 
-Edge cases: null and short texts have no passages; in self-overlapping repeats (one word a thousand times) the first occurrence stays whole; rows that repeat both id and text are
+Edge cases: null and short texts have no passages; in self-overlapping repeats (one word a thousand times) the first occurrence stays whole if no earlier text holds it; rows that repeat both id and text are
 copies of one row and stay; null ids come last; an empty table gives an empty result. Columns named ``suffix_*`` are the operator's own.
 """
 
@@ -158,14 +160,23 @@ def passages(texts: DataFrame) -> DataFrame:
     return texts.select("cls", "places", "text").mapInArrow(run, "h1 long, h2 long, cls long, start int")
 
 
-def merged(repeats: list[tuple[int, int, int]], firsts: list[int], n: int) -> list[tuple[int, int, int, int]]:
-    """Maximal spans (start, end, source class, source start) that repeats (start, source class, source start) cover and first occurrences do not."""
-    cover, keep = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    starts = np.array([r[0] for r in repeats])
-    for mask, at in ((cover, starts), (keep, np.array(firsts, np.int64))):
-        np.add.at(mask, at, 1)
-        np.add.at(mask, at + MIN_WORDS, -1)
-    gone = (np.cumsum(cover)[:n] > 0) & (np.cumsum(keep)[:n] == 0)
+def merged(repeats: list[tuple[int, int, int]], firsts: list[int], n: int, cls: int) -> list[tuple[int, int, int, int]]:
+    """Maximal spans (start, end, source class, source start) of the words of text ``cls`` that repeats (start, source class, source start) cover.
+
+    A repeat of an earlier text goes whole. One of the same text leaves the words of the first occurrences that its source overlaps: the source
+    itself is one, so what goes begins after the last of them.
+    """
+    starts, sources, places = (np.array(x, np.int64) for x in zip(*repeats))
+    kept = np.sort(np.array(firsts, np.int64))
+    own = np.flatnonzero(sources == cls)
+    begins = starts.copy()
+    begins[own] = np.maximum(starts[own], kept[np.searchsorted(kept, places[own] + MIN_WORDS - 1, "right") - 1] + MIN_WORDS) if len(own) else starts[own]
+    ends = starts + MIN_WORDS
+    some = begins < ends
+    cover = np.zeros(n + 1, np.int64)
+    np.add.at(cover, begins[some], 1)
+    np.add.at(cover, ends[some], -1)
+    gone = np.cumsum(cover)[:n] > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
     order = np.argsort(starts, kind="stable")
     out = []
@@ -205,7 +216,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             out = []
             for cls, repeats, first, n in zip(*(c.to_pylist() for c in batch.columns)):
-                out += [(cls, *span) for span in merged(sorted((r["start"], r["source"], r["source_start"]) for r in repeats), first, n)]
+                out += [(cls, *span) for span in merged(sorted((r["start"], r["source"], r["source_start"]) for r in repeats), first, n, cls)]
             columns = zip(*out) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in columns], ["cls", "start_word", "end_word", "source", "source_start"])
 

@@ -189,6 +189,49 @@ def test_spans_of_random_passages(spark):
     assert {(r.doc_id, i) for r in found for i in range(r.start_word, r.end_word)} == brute_spans(rows)
 
 
+def brute_whole_spans(rows):
+    """Every repeat of an earlier text, and of the same text what no first occurrence holds that the repeat's source overlaps."""
+    documents = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0))
+    seen, first_text, gone = {}, {}, set()
+    for k in documents:
+        words = WORDS.findall(lower(k[1]))
+        if first_text.setdefault(k[1], k) != k:
+            gone |= {(k[0], i) for i in range(len(words)) if len(words) >= 50}
+            continue
+        for s in range(len(words) - 49):
+            seen.setdefault(tuple(words[s : s + 50]), []).append((k, s))
+    shared = [places for places in seen.values() if len(places) > 1]
+    for places in shared:
+        (first, source), *others = places
+        for k, s in others:
+            near = [p[0][1] for p in shared if p[0][0] == k and abs(p[0][1] - source) < 50] if k == first else []
+            gone |= {(k[0], s + i) for i in range(50) if not any(f <= s + i < f + 50 for f in near)}
+    return gone
+
+
+def test_spans_beside_first_occurrences(spark):
+    """Near copies whose borders are first occurrences themselves do not keep what an earlier text holds."""
+    rng = random.Random(17)
+    part = lambda n: prose(rng, n, 10**6)
+    rows = []
+    for n in (50, 60, 98, 150, 400):
+        a, b, c, e, p = part(70), part(70), part(60), part(60), part(n)
+        rows += [(len(rows) + i, t) for i, t in enumerate([f"{a} {p} {b}", f"{c} {p} {e}", f"{part(30)} {c} {p} {e}", f"{e} {p}"])]
+    p, b = part(60), part(80)
+    rows += [(len(rows), f"{part(20)} {p} {b} {p} {part(20)}"), (len(rows) + 1, f"{part(9)} {b} {p}")]  # a later text makes the second P a part of first occurrences
+    for period in (1, 3, 30, 49, 50, 60, 120):
+        phrase = part(period)
+        rows += [(len(rows), " ".join([phrase] * (400 // period))), (len(rows) + 1, f"{part(5)} " + " ".join([phrase] * (200 // period)))]
+    found = suffix_spans.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    words = {i: WORDS.findall(t) for i, t in rows}
+    gone = {(r.doc_id, i) for r in found for i in range(r.start_word, r.end_word)}
+    assert gone == brute_whole_spans(rows)
+    assert {(1, i) for i in range(60, 110)} <= gone and {(5, i) for i in range(60, 120)} <= gone and not {i for d, i in gone if d == 0}
+    assert all(words[r.doc_id][r.start_word] == words[r.source_id][r.source_start] for r in found)
+    kept = {w for i in words for j, w in enumerate(words[i]) if (i, j) not in gone}
+    assert kept == {w for x in words.values() for w in x}
+
+
 def test_cut_texts(docs, texts):
     gone = brute_spans(texts)
     left = suffix_spans.without_spans(docs).select("doc_id", "text").collect()
