@@ -3,7 +3,7 @@
 Heuristic labellers vote bad or good, or abstain, on every document. Most know one kind of junk, and kinds exclude each other, so the labeller model has one good class and
 one bad class per labeller; each labeller's votes are drawn from a distribution of its own per class, independent given the class. Expectation-maximisation, begun from
 the bad votes, fits these accuracies to the numbers of all vote patterns, which are exact and at most 3 per labeller multiplied together; documents on which all abstain count as good. The posteriors label
-a bounded sample, on which a linear scorer over hashed features learns; the scorer judges every document.
+a bounded sample, half of it reviewed documents and half others, on which a linear scorer over hashed features learns; the scorer judges every document.
 
 Two such models are fitted: ``quality`` (junk: symbols, shouting, repetition, tables, no sentences, odd word lengths, no function words) and
 ``toxic`` (insults, and reviewers' labels where a table has them: one more labeller, which abstains on other documents). A document is rejected if either
@@ -237,13 +237,15 @@ def scorers(docs: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, dict
     cast = stored(labelled_votes(docs, labels), "reviewed-votes")
     models = {"quality": WeakLabels(cast, QUALITY), "toxic": WeakLabels(cast, TOXIC)}
     size = 2 * ((1 << BITS) + 1)
-    some = cast.where(F.col("reviewed") != NONE)
-    pool = some if some.count() >= SAMPLE_ROWS // 4 else cast
-    total = pool.count()
-    if not total:
+    reviewed = F.col("reviewed") != NONE
+    rows = {r.reviewed: r.n for r in cast.groupBy(reviewed.alias("reviewed")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not rows:
         return np.zeros(size, np.float32), models
-    spread = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 0.95 * SAMPLE_ROWS / total)) + 1
-    chosen = pool.where(spread).limit(SAMPLE_ROWS).dropDuplicates(["doc_id", "text_hash"])
+    # Half of the bound for rows with a review and half for the others, at every size; what one half leaves free is the other's.
+    known, other = rows.get(True, 0), rows.get(False, 0)
+    shares = [min(1.0, 0.95 * max(SAMPLE_ROWS // 2, SAMPLE_ROWS - rest) / max(n, 1)) for n, rest in ((known, other), (other, known))]
+    spread = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 20)) < F.when(reviewed, int((1 << 20) * shares[0]) + 1).otherwise(int((1 << 20) * shares[1]) + 1)
+    chosen = cast.where(spread).limit(SAMPLE_ROWS).dropDuplicates(["doc_id", "text_hash"])
     sample = docs.withColumn("text_hash", F.xxhash64("text")).join(
         F.broadcast(chosen.withColumnRenamed("doc_id", "chosen_id").withColumnRenamed("text_hash", "chosen_hash")),  # at most SAMPLE_ROWS short rows
         F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("text_hash") == F.col("chosen_hash")))

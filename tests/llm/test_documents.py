@@ -303,6 +303,22 @@ def test_classifier_held_out(spark):
     assert sum(r.junk for r in junk) >= 0.85 * len(junk)
 
 
+def test_classifier_learns_beside_reviews(spark, monkeypatch):
+    """Many reviews of one clean source must not hide the junk of another, whatever the number of rows."""
+    monkeypatch.setattr(weak_quality, "SAMPLE_ROWS", 400)
+    rng = random.Random(23)
+    clean = lambda: " ".join(rng.choice("the of and to in that was".split()) if rng.random() < 0.4 else f"w{rng.randrange(500)}" for _ in range(60)) + "."
+    junk = lambda: " ".join(f"w{rng.randrange(500)}***" for _ in range(60))
+    for copies in (1, 6):  # fewer rows than the sample's bound, and more
+        rows = [(i, clean()) for i in range(160 * copies)]
+        reviews = [(i, 1, 0) for i, _ in rows]
+        rows += [(len(rows) + i, junk() if i % 3 == 0 else clean()) for i in range(150 * copies)]
+        labels = spark.createDataFrame(reviews, "doc_id long, quality int, toxic int")
+        found = weak_quality.judged(spark.createDataFrame(rows, "doc_id long, text string"), labels).selectExpr("text like '%***%' as junk", weak_quality.KEEP + " as kept").collect()
+        assert sum(not r.kept for r in found if r.junk) >= 0.95 * 50 * copies
+        assert sum(r.kept for r in found if not r.junk) >= 0.95 * 260 * copies
+
+
 def test_classifier_edges(docs, texts):
     found = weak_quality.judged(docs).selectExpr("doc_id", "text", "words", weak_quality.KEEP + " as kept").collect()
     assert len(found) == len(texts)
