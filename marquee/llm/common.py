@@ -142,3 +142,9 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 def rows_of_words(firsts: np.ndarray) -> np.ndarray:
     """The row of every word, from each row's first word."""
     return np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+
+
+def crc32_sql(number: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an integer's decimal form."""
+    return f"""xor(4294967295, list_reduce([4294967295] || list_transform(string_split(cast({number} as varchar), ''), lambda c: ascii(c)::bigint),
+    lambda crc, byte: list_reduce([xor(crc, byte), 1, 2, 3, 4, 5, 6, 7, 8], lambda k, nth: case when k % 2 = 1 then xor(k // 2, 3988292384) else k // 2 end)))"""
