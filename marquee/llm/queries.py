@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marquee.llm import arc_convert, bottomk, license_join, merkle_manifest, norm_topk, prefix_trie, quality_cascade, suffix_spans, unigram, vector_pack, weak_quality, winnow_lines
+from marquee.llm import arc_convert, bottomk, license_join, merkle_manifest, norm_topk, prefix_trie, quality_cascade, subspace_join, suffix_spans, unigram, vector_pack, weak_quality, winnow_lines
 
 QUERIES = {
     "op1_arc_convert": arc_convert.op1_arc_convert,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_winnow_lines": winnow_lines.op8_winnow_lines,
     "op9_suffix_spans": suffix_spans.op9_suffix_spans,
     "op10_vector_pack": vector_pack.op10_vector_pack,
+    "op11_subspace_join": subspace_join.op11_subspace_join,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
@@ -22,6 +23,7 @@ SQL = {
     "op3_quality_cascade": quality_cascade.SQL,
     "op7_norm_topk": norm_topk.SQL,
     "op8_winnow_lines": winnow_lines.SQL,
+    "op11_subspace_join": subspace_join.SQL,
     "op12_prefix_trie": prefix_trie.SQL,
     "op13_merkle_manifest": merkle_manifest.SQL,
 }
