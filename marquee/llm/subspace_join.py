@@ -35,7 +35,7 @@ from marquee.llm.common import bounded_batches, mixed, stored
 from marquee.llm.graph import components
 
 BLOCK = 8
-SLICE_ROWS = 2048
+SLICE_ROWS = 16_384
 CHUNK_ROWS = 256
 ONE = 32767
 SEED = 11
@@ -209,9 +209,16 @@ def _meet(threshold: float):
         homes = homes[np.argsort(turned[homes, narrow], kind="stable")]
         along, radius = turned[guests, narrow].astype(np.float64), budget.radii[block] * ONE
 
+        @cache
+        def sides(first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+            """Rows whose matrix product is the squared distance in some coordinates."""
+            x = unit_[:, first: first + count]
+            square, one = np.einsum("ij,ij->i", x, x)[:, None], np.ones((len(x), 1), np.float32)
+            return np.hstack([-2 * x, square, one]), np.hstack([x, one, square])
+
         def gaps(of: np.ndarray, to: np.ndarray, first: int, count: int) -> np.ndarray:
-            x, y = unit_[of, first: first + count], unit_[to, first: first + count]
-            return np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", y, y)[None, :] - 2 * (x @ y.T)
+            hosts, guests_ = sides(first, count)
+            return hosts[of] @ guests_[to].T
 
         links, parents = np.zeros(len(cls), np.int64), np.arange(len(cls))
         near: list[np.ndarray] = []
