@@ -1,21 +1,23 @@
 """Cells that hold a nested value written as a Python literal, flattened into relational tables.
 
-Most cells are plain enough to be re-quoted as JSON and parsed inside the JVM. The few that are not
-(escapes, double quotes, booleans, decimals, malformed text) go to ``ast.literal_eval`` in Arrow batches;
-both ways give the same value.
+Cells are cut into quoted strings and what stands between them, re-quoted as JSON and parsed inside the JVM, quotes within names and
+escapes included. What is not a list of dicts of strings, whole numbers and None (booleans, decimals, other escapes, malformed text) goes to
+``ast.literal_eval`` in Arrow batches; both ways give the same value.
 """
 
 from __future__ import annotations
 
 import ast
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.text import blank_to_null
 from marquee.operators.dedup import first_by_key, first_values
+from marquee.session import dealt_out
 
 Fields = Mapping[str, str]  # field name -> "long" or "string"
 
@@ -24,6 +26,12 @@ LONG_RANGE = (-(2**63), 2**63 - 1)
 
 # Characters a plain cell may show outside its quoted strings besides brackets and None.
 FILLER = ":, \t\n0123456789-"
+# Stand-ins for an escaped backslash, an escaped single quote, an escaped double quote and a quote around a string; cells that hold them are left to Python.
+BACKSLASH, SINGLE, DOUBLE, QUOTE = "\x01", "\x02", "\x03", "\x04"
+# Quoted strings of both kinds, once their escaped quotes are stand-ins.
+STRING = r"""'([^'\n\r\x00]*+)'|"([^"\n\r\x00]*+)\""""
+# Escapes that JSON has too, or that are written as \u escapes for it; surrogates are left to Python.
+KNOWN_ESCAPE = r"\\(?!n|r|t|b|f|a|v|x[0-9a-fA-F]{2}|u(?![dD][89a-fA-F])[0-9a-fA-F]{4})"
 
 
 def _ddl(fields: Fields, many: bool) -> str:
@@ -33,7 +41,7 @@ def _ddl(fields: Fields, many: bool) -> str:
 
 def _leaf(value, kind: str):
     if value is None or kind == "string":
-        return None if value is None else str(value)
+        return None if value is None else str(value).encode("utf-8", "replace").decode()
     try:
         number = int(value)
     except (TypeError, ValueError, OverflowError):
@@ -73,31 +81,53 @@ def _literal_udf(fields: Fields, many: bool):
     return parse.asNondeterministic()
 
 
+def with_json(df: DataFrame, json: str, cell: str, many: bool = True) -> DataFrame:
+    """Add the cell as JSON text, an object with the value under ``v``; null for a cell that may not mean the same in JSON.
+
+    Quotes around strings become one stand-in, whichever kind they are; what is left without the strings tells the cell's shape. The steps are separate columns
+    because each is used more than once: Spark then keeps them as separate projections and evaluates each once per row.
+    """
+    kept, text = [c for c in df.columns if c != json], F.col(cell)
+    # Cells of the most frequent kind, in which a single quote can only stand around a string.
+    plain = ~reduce(Column.__or__, [text.contains(c) for c in ('"', "\\", "\n", "\r", "\0")])
+    escaped = {"\\\\": BACKSLASH, "\\'": SINGLE, '\\"': DOUBLE}
+    safe = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), escaped.items(), text)
+    marked = F.when(plain, F.replace(text, F.lit("'"), F.lit(QUOTE))).otherwise(F.regexp_replace(safe, STRING, f"{QUOTE}$1$2{QUOTE}"))
+    df = df.withColumn("_marked", F.when(~text.rlike(f"[{BACKSLASH}{SINGLE}{DOUBLE}{QUOTE}]"), marked))
+    df = df.withColumn("_outside", F.regexp_replace("_marked", f"{QUOTE}[^{QUOTE}]*+{QUOTE}", ""))
+    df = df.withColumn("_bare", F.replace("_outside", F.lit("None"), F.lit("")))
+    brackets = F.translate("_bare", FILLER, "")
+    shape = F.replace(brackets, F.lit("{}"), F.lit("")) == "[]" if many else brackets == "{}"
+    shape = shape & F.endswith(F.rtrim(cell), F.lit("]" if many else "}")) & ~F.col("_bare").contains("-0")
+    bare = F.replace("_marked", F.lit("None"), F.lit(""))
+    only_outside = F.octet_length("_marked") - F.octet_length(bare) == F.octet_length("_outside") - F.octet_length("_bare")
+    # Where a string holds the word, every second piece is the inside of a string.
+    by_piece = F.array_join(F.transform(F.split("_marked", QUOTE, -1), lambda s, i: F.when(i % 2 == 0, F.replace(s, F.lit("None"), F.lit("null"))).otherwise(s)), QUOTE)
+    nulls = F.when(only_outside, F.replace("_marked", F.lit("None"), F.lit("null"))).otherwise(by_piece)
+    df = df.withColumn("_nulls", F.when(shape, nulls))
+    coded = F.replace(F.replace("_nulls", F.lit("\\a"), F.lit("\\u0007")), F.lit("\\v"), F.lit("\\u000b"))
+    coded = F.when(~F.col("_nulls").rlike(KNOWN_ESCAPE), F.regexp_replace(coded, r"\\x(..)", r"\\u00$1"))
+    coded = F.when(F.col("_nulls").contains("\\"), coded).otherwise(F.col("_nulls"))
+    written = {'"': '\\"', DOUBLE: '\\"', SINGLE: "'", BACKSLASH: "\\\\"}
+    odd = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), written.items(), coded)
+    body = F.replace(F.when(plain, F.col("_nulls")).otherwise(odd), F.lit(QUOTE), F.lit('"'))
+    return df.select(*kept, F.concat(F.lit('{"v":'), body, F.lit("}")).alias(json))
+
+
+JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowUnquotedControlChars": "true"}
+
+
 def with_literal(df: DataFrame, alias: str, cell: str, fields: Fields, many: bool = True, native: bool = True) -> DataFrame:
     """Add the typed value of a literal cell: an array of structs, or one struct with ``many=False``.
 
     Null, empty, ``nan``, ``none``, malformed text and the wrong container give null. List items that are not
-    dicts give null elements. ``native=False`` sends every cell to Python.
-
-    The steps are separate columns because each is used more than once: Spark then keeps them as separate
-    projections and evaluates each once per row.
+    dicts give null elements. ``native=False`` sends every cell to Python; otherwise only those that cannot be read as JSON go there.
     """
     parse, kept = _literal_udf(fields, many), [c for c in df.columns if c != alias]
     if not native:
         return df.select(*kept, parse(F.col(cell)).alias(alias))
-    # Odd pieces are the insides of quoted strings, if no string holds a quote or an escape.
-    df = df.withColumn("_pieces", F.split(cell, "'", -1))
-    outside = F.array_join(F.transform("_pieces", lambda s, i: F.when(i % 2 == 0, s).otherwise(F.lit(""))), "")
-    df = df.withColumn("_outside", F.replace(outside, F.lit("None"), F.lit("")))
-    brackets = F.translate("_outside", FILLER, "")
-    shape = F.replace(brackets, F.lit("{}"), F.lit("")) == "[]" if many else brackets == "{}"
-    shape = shape & F.endswith(F.rtrim(cell), F.lit("]" if many else "}"))
-    simple = ~F.col(cell).contains('"') & ~F.col(cell).contains("\\") & ~F.col("_outside").contains("-0") & (F.size("_pieces") % 2 == 1)
-    bare = F.transform("_pieces", lambda s, i: F.when(i % 2 == 0, F.replace(s, F.lit("None"), F.lit("null"))).otherwise(s))
-    json = F.concat(F.lit('{"v":'), F.array_join(bare, '"'), F.lit("}"))
-    df = df.withColumn("_json", F.when(shape & simple, json))
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    df = df.withColumn("_read", F.from_json("_json", f"v {_ddl(fields, many)}, _bad string", options))
+    df = with_json(df, "_json", cell, many)
+    df = df.withColumn("_read", F.from_json("_json", f"v {_ddl(fields, many)}, _bad string", JSON_OPTIONS))
     df = df.withColumn("_good", F.coalesce(F.col("_read._bad").isNull() & F.col("_json").isNotNull(), F.lit(False)))
     # Cells that are read already go in as null, so Python only sees the rest.
     df = df.withColumn("_slow", parse(F.when(~F.col("_good"), F.col(cell))))
@@ -113,7 +143,7 @@ def with_literal_list(df: DataFrame, alias: str, cell: str, fields: Fields) -> D
 def items(df: DataFrame, owner: str, cell: str, fields: Fields, order: Sequence[str]) -> DataFrame:
     """One row per list item: owner as ``movie_id``, the order columns, ``pos`` and the fields."""
     narrow = df.select(F.col(owner).cast("bigint").alias("movie_id"), *order, F.col(cell).alias("_cell"))
-    parsed = with_literal(narrow, "_items", "_cell", fields)
+    parsed = with_literal(dealt_out(narrow), "_items", "_cell", fields)
     rows = parsed.select("movie_id", *order, F.posexplode("_items").alias("pos", "_item")).filter(F.col("_item").isNotNull())
     return rows.select("movie_id", *order, "pos", *[F.col(f"_item.`{n}`").alias(n) for n in fields])
 

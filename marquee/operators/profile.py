@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import coerce
+from marquee.operators.nested import JSON_OPTIONS, with_json
 from marquee.operators.quantiles import approximate_quantiles, exact_quantiles
+from marquee.session import dealt_out
 
 # Phrases counted as placeholder text (compared in lower case, not trimmed), and the
 # plausible calendar of releases.
@@ -183,9 +185,8 @@ def cell_quality(
         cells = df.filter(F.col(c).isNotNull())
         if sample is not None:
             cells = cells.orderBy(*order).limit(sample)
-        state = _cell_state(F.col(c))
         parts.append(
-            cells.select(state.alias("state")).agg(
+            _cell_states(cells.select(F.col(c).alias("cell"))).agg(
                 F.count("*").alias("cells"), F.count_if(F.col("state") != "failed").alias("parsed"),
                 F.count_if(F.col("state") == "failed").alias("failed"),
                 F.count_if(F.col("state") == "empty_list").alias("empty_lists"),
@@ -194,8 +195,11 @@ def cell_quality(
     return reduce(DataFrame.unionByName, parts)
 
 
-def _cell_state(cell: Column) -> Column:
-    """``failed``, ``empty_list`` or ``ok`` for a non-null literal cell, judged by Python's own reader."""
+def _cell_states(cells: DataFrame) -> DataFrame:
+    """(state) of the literal cells in the only column: ``failed``, ``empty_list``, ``ok``, or null for a null cell.
+
+    Lists of dicts are judged in the JVM, other cells by Python's own reader.
+    """
     def judge(text: str | None) -> str | None:
         if text is None:
             return None
@@ -205,15 +209,20 @@ def _cell_state(cell: Column) -> Column:
             return "failed"
 
     @F.arrow_udf("string")
-    def state(cells: pa.Array) -> pa.Array:
+    def judged(cells: pa.Array) -> pa.Array:
         return pa.array([judge(c) for c in cells.to_pylist()], type=pa.string())
 
-    return state(cell)
+    (cell,) = cells.columns
+    df = with_json(dealt_out(cells), "_json", cell)
+    df = df.withColumn("_read", F.from_json("_json", "v array<struct<any:string>>, _bad string", JSON_OPTIONS))
+    df = df.withColumn("_good", F.coalesce(F.col("_json").isNotNull() & F.col("_read._bad").isNull(), F.lit(False)))
+    df = df.withColumn("_rest", judged.asNondeterministic()(F.when(~F.col("_good"), F.col(cell))))
+    return df.select(F.when(F.col("_good"), F.when(F.size("_read.v") == 0, "empty_list").otherwise("ok")).otherwise(F.col("_rest")).alias("state"))
 
 
 def tag_coverage(df: DataFrame, column: str) -> DataFrame:
     """(null_cells, empty_cells, unreadable_cells, without_tags, pct): rows effectively without tags."""
-    states = df.select(_cell_state(F.col(column)).alias("state"))
+    states = _cell_states(df.select(column))
     counts = states.agg(
         F.count("*").alias("n"), F.count_if(F.col("state").isNull()).alias("null_cells"),
         F.count_if(F.col("state") == "empty_list").alias("empty_cells"),

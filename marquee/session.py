@@ -44,6 +44,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """The rows in partitions of even size, at least one for each core, whatever the files they come from are like.
+
+    For narrow rows that are costly to work on: a file of one row group is one task, which would do all the work alone. Spark chooses
+    the number of partitions from the measured bytes; the shuffle is a small part of the work at any size.
+    """
+    return df.hint("rebalance")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 

@@ -13,6 +13,9 @@ CELLS = [
     "[{'id': 'x', 'name': 'y'}]", "[{'id': -0, 'name': -0}]", "[{'id': 007}]", "[{'id': 1}, {'id': 2}], 'x': 1", "[{'id': {'a': 1}, 'name': {'b': 2}}]",
     "[{'id': 3, 'name': 'a\\'b\\u00e9\\n'}]", "[{'id': 99999999999999999999, 'name': 99999999999999999999}]", "[{'id': 1, 'name': 'x'},]", "({'id': 1},)",
     "[{'id': 4, 'name': 'tab\there'}]", "[{'id': 4, 'name': 'line\nbreak'}]", "[{'id': 5,\n 'name': 'ok'}]", "[[{'id': 1}]]", "[{'id': 1e3, 'name': 1e3}]",
+    r"[{'id': 1, 'name': 'a\\'}, {'id': 2, 'name': 'b'}]", r"[{'id': 1, 'name': 'a\\\'b', 'p': \"c\\\"d'e\"}]", r"[{'id': 1, 'name': 'q\"r\" \x41\a\v\b\f\0 \101'}]",
+    r"[{'id': 1, 'name': '\ud83d\ude00', 'p': '\u00e9\U0001F600'}]", r"[{'id': 1, 'name': '\d \N{BULLET}'}]", "[{'id': 1, 'name': \"a\nb\"}]", "[{'id': 1,\n \"name\": \"it's\"}]\n",
+    r"[{'id': 1, 'name': 'a\\u0041\\n'}]", "[{'id': 1, 'name': \"x\x01\"}]", "[{'id': 1, 'name': b'x'}]", "[{'id': 1, 'name': r\"x\"}]", "[{'id': 1, 'name': \"x\"] # y", r"[{'id': 1, \n'name': 'x'}]", "[{'id': 1, 'name': 'a\rb'}]",
     "[{'id': 6, 'name': 'a' 'b'}]", "[{'id': 1_000}]", "[{'id': 8, 'id': 9}]", "[None]", "[{'id': NoneNone}]",
 ]
 
@@ -40,7 +43,28 @@ def test_values(spark):
     assert [r["v"] for r in nested.with_literal_list(empty, "v", "cell", FIELDS).collect()] == [[], []]
 
 
-text = st.text(alphabet=st.sampled_from("ab'\"\\,:{}[] \té0None"), max_size=8)
+def python_rows(spark, cells):
+    """How many cells go on to Python."""
+    df = spark.createDataFrame([(c,) for c in cells], "cell string")
+    return nested.with_json(df, "json", "cell").where("json is null").count()
+
+
+def test_well_formed_cells_stay_in_the_engine(spark):
+    """Quotes, escapes and line breaks in the notation of Python are no reason to leave the engine."""
+    names = ["O'Brien", 'the "Rock"', "it's \"both\"", "back\\slash", "tab\tnew\nline", "é\u4e2d", "\x07\x0b\x0c\x08", "", "None, [x] {y}"]
+    cells = [repr([{"id": i, "name": n, "p": None}, {"id": -i - 1, "name": n + n, "p": "'"}]) for i, n in enumerate(names)]
+    assert [ast.literal_eval(c)[0]["name"] for c in cells] == names
+    assert python_rows(spark, cells) == 0
+    assert [[tuple(i) for i in v] for v in parsed(spark, cells, True, True)] == [[(i["id"], i["name"], i["p"]) for i in ast.literal_eval(c)] for c in cells]
+
+
+def test_long_cells_with_many_quotes(spark):
+    cell = repr([{"id": i, "name": "O'B\\\"" * 500, "p": None} for i in range(40)])
+    found = parsed(spark, [cell], True, True)[0]
+    assert python_rows(spark, [cell]) == 0 and len(found) == 40 and found[7].name == "O'B\\\"" * 500
+
+
+text = st.text(alphabet=st.sampled_from("ab'\"\\,:{}[] \té0None\nx\x07"), max_size=8)
 item = st.fixed_dictionaries({"id": st.one_of(st.none(), st.integers(-(2**40), 2**40)), "name": st.one_of(st.none(), text)})
 
 
