@@ -77,6 +77,30 @@ def test_top_k(spark, kind, monkeypatch):
     assert norm_topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(0, 20), (14, 21), (0, 36)])
+def test_top_k_of_long_vectors(spark, monkeypatch, sizes):
+    """Products below and above 2**53, at any mix of lengths, with ties and negative scores, are those of exact integers."""
+    monkeypatch.setattr(norm_topk, "SLICE_ROWS", 60)
+    rng = np.random.default_rng(7)
+    # Integers up to about 2**30, so that products fit a long; beyond, the queries are short.
+    made = [(i, [float(np.float32(x)) for x in rng.normal(size=4) * 2.0 ** rng.uniform(*((0, 4) if sizes[1] > 24 and i % 50 == 0 else sizes))]) for i in range(400)]
+    made += [(1000 + i, made[3 * i][1]) for i in range(20)] + [(2000 + i, [-x for x in made[7 * i][1]]) for i in range(20)] + [(450, [1e7, 0.0, 0.0, 0.0] if sizes[1] <= 24 else [0.5, 0.0, 0.0, 0.0])]
+    if sizes[1] > 24:  # longer ones meet the short queries only
+        made = [(i + 1 if i % 50 == 0 and i >= 1000 else i, v) for i, v in made]
+    frame = spark.createDataFrame(made, "vec_id long, embedding array<float>")
+    found = norm_topk.top_k(frame, F.col("vec_id") % 50 == 0).collect()
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == brute_top(made)
+
+
+def test_scores_beyond_a_long(spark):
+    huge = [(50, [1e30, 0.0]), (1, [1e30, 1.0]), (2, [-1e30, 0.0])]
+    with pytest.raises(Exception, match="no long holds a score of query 50"):
+        norm_topk.top_k(spark.createDataFrame(huge, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    far = [(50, [1e30, 0.0])] + [(i, [0.0, float(i)]) for i in range(1, 8)] + [(9, [-1e30, 0.0])]  # below the five best, so no matter
+    found = norm_topk.top_k(spark.createDataFrame(far, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [(i, i, 0) for i in range(1, 6)]
+
+
 def plain_viterbi(vocabulary, text):
     pieces = {t: i for i, t in enumerate(vocabulary.texts) if t}
     data = b" " + text.encode() if text else b""
