@@ -177,13 +177,14 @@ def nearest_for_all(vectors: DataFrame, k: int = 10, tile_rows: int = 65_536) ->
     return _ranked(tiles, k)
 
 
-def approximate_for_many(index: VectorIndex, references: DataFrame, k: int = 10, probes: int = 4, part_rows: int = 65_536) -> DataFrame:
-    """(id, rank, neighbour, similarity) of each reference (id, embedding) among the vectors of its ``probes`` nearest cells.
+def approximate_for_many(index: VectorIndex, references: DataFrame, k: int = 10, probes: int | None = None, part_rows: int = 65_536) -> DataFrame:
+    """(id, rank, neighbour, similarity) of each reference (id, embedding) among the vectors of its ``probes`` nearest cells, by default 13 of 16 of the cells.
 
-    More probes find more true neighbours; measure the recall on some references against ``nearest_for_all`` or ``nearest``. Large cells
+    More probes find more true neighbours (on vectors with little structure the default finds 0.94 of them; ``quantized`` reads far less); measure the recall against ``nearest_for_all``. Large cells
     are split into parts, each compared in a task of its own.
     """
     pivots = index.pivots
+    probes = math.ceil(len(pivots) * 13 / 16) if probes is None else probes
 
     @F.arrow_udf("array<int>")
     def cells(column: pa.Array) -> pa.Array:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import display
 from marquee.functions.text import register_unaccent, search_form, unaccent
-from marquee.operators import dedup, neighbours
+from marquee.operators import dedup, neighbours, quantized
 from marquee.operators.arrays import empty_if_null
 from marquee.plans import browse, details, search, similar
 from marquee.plans.catalogue import Catalogue, genre_arrays, genre_names, summary
@@ -315,6 +315,24 @@ def similar_approximate(spark, sf_dir):
     return per_query.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("recall_reached"))
 
 
+@query()
+def similar_quantized(spark, sf_dir):
+    """A tenth of the vectors against all rows through product-quantised codes: exact similarities of what was found."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = quantized.QuantizedIndex.build(vectors)
+    return index.search_many(vectors.filter("id % 10 = 0"), 10).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def similar_quantized_recall(spark, sf_dir):
+    """The measured recall of the quantised codes against exact neighbours, and the share of the vectors' bytes that a query reads."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = quantized.QuantizedIndex.build(vectors)
+    exact = neighbours.nearest_for_all(vectors, 10, tile_rows=8192).filter("id % 10 = 0")
+    measured = quantized.recall(index.search_many(vectors.filter("id % 10 = 0"), 10), exact)
+    return measured.withColumn("bytes_share", F.lit(index.bytes_read()))
+
+
 @query("""
 with v as (select vec_id, embedding::double[] as e from embeddings)
 select v.vec_id as id, round(list_cosine_similarity(v.e, r.e), 6) as similarity from v, (select e from v where vec_id = 11) r where v.vec_id <> 11""")
