@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.text import like_text, search_form
 from marquee.plans.catalogue import DEFAULT_PAGE_SIZE, Catalogue, InvalidArgument, Page, check_page, summary, with_genres
 
+if TYPE_CHECKING:
+    from marquee.plans.title_index import TitleIndex
+
 # Query length bounds, relevance scores and preset sizes.
 SHORTEST_QUERY = 2
 LONGEST_QUERY = 100
@@ -60,11 +65,11 @@ def hits(movies: DataFrame, query: str, literal: bool = False) -> DataFrame:
 
 
 def search(
-    catalogue: Catalogue, query: str, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE, literal: bool = False
+    catalogue: Catalogue, query: str, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE, literal: bool = False, index: TitleIndex | None = None
 ) -> Page:
-    """One page of title matches, best first, and how many there are in all."""
+    """One page of title matches, best first, and how many there are in all; with an index of the titles only its lists for the query are read."""
     text, offset = checked_query(query), check_page(page, page_size)
-    found = hits(catalogue.movies, text, literal)
+    found = hits(catalogue.movies, text, literal) if index is None else index.hits(text, literal)
     order = [F.desc("relevance_score"), F.col("popularity").desc_nulls_last(), F.col("id").asc()]
     columns = ["id", "title", "release_date", "poster_path", "vote_average", "vote_count", "popularity"]
     rows = summary(found.select(*columns, "relevance_score").orderBy(*order).offset(offset).limit(page_size))

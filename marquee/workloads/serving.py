@@ -11,7 +11,8 @@ from marquee.operators import dedup, neighbours, quantized
 from marquee.operators.arrays import empty_if_null
 from marquee.plans import browse, details, search, similar
 from marquee.plans.catalogue import Catalogue, genre_arrays, genre_names, summary
-from marquee.workloads import query, table
+from marquee.plans.title_index import TitleIndex
+from marquee.workloads import SQL, query, table
 
 # ---- orders as movies, return flags of their lines as genres ---------------------------------------------------------
 
@@ -191,6 +192,18 @@ def title_search(spark, sf_dir):
     return flat(search.search(part_catalogue(spark, sf_dir), " wid ", page=2).items).select("id", "title", "popularity", "genres")
 
 
+@query(f"with {TITLES}, {scored('r_d%bo')} select id, title, relevance_score from hits")
+def search_hits_indexed(spark, sf_dir):
+    return TitleIndex.build(part_catalogue(spark, sf_dir).movies).hits("r_d%bo").select("id", "title", "relevance_score")
+
+
+@query(SQL["title_search"])
+def title_search_indexed(spark, sf_dir):
+    catalogue = part_catalogue(spark, sf_dir)
+    found = search.search(catalogue, " wid ", page=2, index=TitleIndex.build(catalogue.movies))
+    return flat(found.items).select("id", "title", "popularity", "genres")
+
+
 @query(f"with {TITLES}, {scored('sm')} select id, title from hits order by relevance_score desc, popularity desc nulls last, id limit 8")
 def suggestions(spark, sf_dir):
     return search.suggest(part_catalogue(spark, sf_dir), "sm").select("id", "title")
