@@ -256,17 +256,47 @@ def test_licenses(docs, texts):
             hits += at
             labels |= {label} if at else set()
         more = set()
-        half = license_join.BLOCK_WORDS // 2
-        for start in range(0, max(1, len(words) - half), half):
-            block = set(words[start : start + license_join.BLOCK_WORDS])
-            for name, template in license_join.TEMPLATES.items():
-                need = set(license_join.words_of(template))
-                more |= {name} if 100 * len(need & block) >= 80 * len(need) else set()
+        for name, template in license_join.TEMPLATES.items():
+            need, run = set(license_join.words_of(template)), license_join.run_words(template)
+            most = max((len(need & set(words[start : start + run])) for start in range(len(words))), default=0)
+            more |= {name} if 100 * most >= 80 * len(need) else set()
         expected.add((i, len(words), len(hits), min(hits, default=None), max(hits, default=None), tuple(sorted(labels)), tuple(sorted(more))))
     assert found == expected
     assert {"bsd", "mit"} <= {x for r in found for x in r[6]}
 
 
+@pytest.mark.parametrize("length", [3, 200, 1000])
+def test_templates_of_any_length_at_any_start(spark, length):
+    """Runs at every offset from a block's border, with words left out, changed and put in, against all starts."""
+    rng = random.Random(length)
+    template = [f"t{rng.randrange(length)}" for _ in range(length)]
+    need, rows = set(template), []
+    for i in range(40):
+        copy = [("other" if rng.random() < rng.choice([0.0, 0.1, 0.25, 0.4]) else w) for w in template]
+        for _ in range(rng.randrange(length // 5 + 1)):
+            copy.insert(rng.randrange(len(copy)), "more")
+        rows.append((i, " ".join([f"w{rng.randrange(50)}" for _ in range(rng.randrange(3 * length))] + copy + [f"w{rng.randrange(50)}" for _ in range(rng.randrange(2 * length))])))
+    rows += [(100, " ".join(template)), (101, " ".join(template[: length // 2])), (102, ""), (103, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.blocks for r in license_join.matches(frame, {"long": " ".join(template), "none": "..."}).collect()}
+    run, hit = license_join.run_words(" ".join(template)), 0
+    for i, text in rows:
+        words = (text or "").split()
+        most = max((len(need & set(words[s : s + run])) for s in range(len(words))), default=0)
+        assert bool(found[i]) == (100 * most >= 80 * len(need)), (i, most, len(need))
+        hit += bool(found[i])
+        if found[i]:
+            assert max(b.containment for b in found[i]) == most / len(need)
+            assert all(len(need & set(words[b.start : b.end])) / len(need) == b.containment for b in found[i])
+    assert 5 < hit < len(rows)
+
+
+def test_full_license_texts(spark):
+    rows = [(i, f"{'intro ' * (37 * i)}{license_join.TEMPLATES[name]} {'tail ' * 500}") for i, name in enumerate(("mit-full", "isc-full", "bsd-2-full"))]
+    found = {r.doc_id: {b.label for b in r.blocks} for r in license_join.matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {0: {"mit-full", "mit"}, 1: {"isc-full", "isc"}, 2: {"bsd-2-full", "bsd"}}
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     assert quality_cascade.verdicts(none).count() == 0
