@@ -64,20 +64,25 @@ def test_cascade_order_and_laziness(spark):
     assert spark.range(1).select(quality_cascade.cascade([cheap, fails]).alias("r")).first().r == "a"
 
 
-def brute_lines(rows, run):
-    """Lines to delete by (id, text)."""
+def brute_lines(rows, run, long=winnow_lines.LONG_WORDS):
+    """What is left of the texts by (id, text)."""
+    blank = " \t\x0b\x0c\r"
     documents = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
-    seen, dead = {}, []
+    seen = {}
     for key in documents:
-        full = [(i, x.strip(" ")) for i, x in enumerate(key[1].split("\n")) if x.strip(" ")]
-        for j in range(len(full) - run + 1):
-            seen.setdefault(tuple(x for _, x in full[j : j + run]), []).append((key, [i for i, _ in full[j : j + run]]))
-    gone, stay = set(), set()
+        full = [(i, x.strip(blank)) for i, x in enumerate(key[1].split("\n")) if x.strip(blank)]
+        for j in range(len(full)):
+            if j + run <= len(full):
+                seen.setdefault(tuple(x for _, x in full[j : j + run]), []).append((key, [i for i, _ in full[j : j + run]]))
+            if len(WORDS.findall(full[j][1])) >= long:
+                seen.setdefault((full[j][1],), []).append((key, [full[j][0]]))
+    later, other, stay = set(), set(), set()
     for places in seen.values():
         if len(places) > 1:
             stay |= {(places[0][0], i) for i in places[0][1]}
-            dead += [(k, i) for k, at in places[1:] for i in at]
-    gone = set(dead) - stay
+            for k, at in places[1:]:
+                (later if k == places[0][0] else other).update((k, i) for i in at)
+    gone = other | (later - stay)
     return {k: "\n".join(x for i, x in enumerate(k[1].split("\n")) if (k, i) not in gone) for k in documents}
 
 
@@ -91,6 +96,24 @@ def test_lines(docs, texts):
     assert sum(r.winnow_deleted > 0 for r in found) >= 3
 
 
+@pytest.mark.parametrize("run", [2, 3])
+def test_lines_of_all_kinds(spark, run):
+    """Frequent lines, long single ones, runs within and across documents, blanks of all kinds and a text of megabytes."""
+    rng = random.Random(run)
+    short, long = [f"line {i}" for i in range(12)], [f"{prose(rng, 8 + i)} end" for i in range(5)]
+    rows = []
+    for i in range(120):
+        lines = [rng.choice(long) if rng.random() < 0.1 else rng.choice(short) for _ in range(rng.randrange(1, 14))]
+        rows.append((i, "\n".join(rng.choice(["", " ", "\t", "\x0c"]) + x + rng.choice(["", "  ", "\r"]) + ("\n \t" if rng.random() < 0.1 else "") for x in lines)))
+    rows += [(500, "a\np\nq\nb"), (501, "c\np\nq\ne"), (502, "c\np\nq\ne"), (503, "one two three four five six seven"), (504, "one two three four five six seven")]
+    rows += [(505, long[0]), (506, long[0]), (600, "big line of words to repeat in here\n" * 3 + "x y\n" * 60_000), (601, f"{prose(rng, 400_000)}\n{long[1]}")]
+    expected = brute_lines(rows, run)
+    found = winnow_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), min_run=run).collect()
+    assert {r.doc_id: r.text for r in found} == {i: expected[(i, t)] for i, t in rows}
+    after = {r.doc_id: r.text for r in found}
+    assert after[506] == "" and after[504] == rows[124][1] and (run > 2 or after[501] == "c\ne")
+
+
 def shingles(text, n):
     words = WORDS.findall(lower(text or ""))
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
