@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column, SparkSession
@@ -68,6 +69,28 @@ def like_text(query: Column, literal: bool = False) -> Column:
     return F.regexp_replace(query, r"(\\[%_\\])|\\([^%_\\])", "$1$2")
 
 
+def like_tokens(source: str) -> list[tuple[str, bool]]:
+    """The characters of a LIKE pattern, each with whether it is a wildcard."""
+    tokens = re.findall(r"\\.|[^\\]|\\$", source, re.DOTALL)
+    return [(t, True) if t in ("%", "_") else (t[1:] if t[0] == "\\" and len(t) > 1 else t, False) for t in tokens]
+
+
+def like_fragments(source: str) -> list[str]:
+    """The literal runs of a LIKE pattern."""
+    runs = [""]
+    for token, wild in like_tokens(source):
+        if wild:
+            runs.append("")
+        else:
+            runs[-1] += token
+    return [run for run in runs if run]
+
+
+def like_regex(source: str) -> re.Pattern[str]:
+    """The LIKE pattern as a regular expression for a whole text."""
+    return re.compile("".join({"%": ".*", "_": "."}[t] if wild else re.escape(t) for t, wild in like_tokens(source)), re.DOTALL)
+
+
 def one_line(text: Column) -> Column:
     """Collapse every run of Unicode white space to one space and strip the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from typing import TYPE_CHECKING
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.functions.text import like_text, search_form
+from marquee.functions.text import like_fragments, like_regex, like_text, like_tokens, search_form
 from marquee.plans.catalogue import DEFAULT_PAGE_SIZE, Catalogue, InvalidArgument, Page, check_page, summary, with_genres
+from marquee.session import staged
 
 if TYPE_CHECKING:
     from marquee.plans.title_index import TitleIndex
@@ -90,7 +95,8 @@ def results(catalogue: Catalogue, query: str) -> Page:
 
 # ---- a table of queries ----------------------------------------------------------------------------------------
 
-ROWS_PER_TASK = 1_000_000
+ROWS_PER_TASK = 200_000
+QUERIES_PER_TASK = 20_000
 
 
 def checked_queries(queries: DataFrame) -> DataFrame:
@@ -101,21 +107,102 @@ def checked_queries(queries: DataFrame) -> DataFrame:
     return stripped.withColumn("error", F.when(~F.coalesce(fits, F.lit(False)), F.lit("invalid_search_query")))
 
 
-def _pieces(form: Column) -> Column:
-    """Distinct two-character pieces of a text, and the empty piece that every text has."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(form) - 1, F.lit(1)))
-    pieces = F.transform(starts, lambda i: F.substring(form, i, F.lit(2)))
-    return F.array_append(F.filter(pieces, lambda p: F.length(p) == 2), "")
+class Patterns:
+    """The patterns of some queries behind one automaton over their longest literal fragments."""
+
+    def __init__(self, exact: list[str], sources: list[str]):
+        self.exact, self.sources = exact, sources
+        # As in ``relevance``, an escape at a query's end escapes the wildcard behind it.
+        inside = [f"%{s}%" for s in sources]
+        live = [i for i, s in enumerate(inside) if sum(wild for _, wild in like_tokens(s)) != 2 or "\\" in s]
+        self.inside, self.start = {i: like_regex(inside[i]) for i in live}, {i: like_regex(f"{sources[i]}%") for i in live}
+        self.by_fragment: dict[str, list[int]] = {}
+        #: Patterns of wildcards alone, by the characters that they ask for: such a pattern only looks at a text's length.
+        self.by_length: dict[int, list[int]] = {}
+        for i, source in enumerate(sources):
+            parts = like_fragments(f"%{source}%")
+            if parts:
+                self.by_fragment.setdefault(max(parts, key=len), []).append(i)
+            else:
+                self.by_length.setdefault(source.count("_"), []).append(i)
+        self.automaton = ahocorasick.Automaton()
+        for fragment, owners in self.by_fragment.items():
+            self.automaton.add_word(fragment, owners)
+        if self.by_fragment:
+            self.automaton.make_automaton()
+
+    def near(self, text: str | None) -> set[int]:
+        """The patterns whose fragment stands in a text."""
+        return {i for _, owners in self.automaton.iter(text) for i in owners} if text and self.by_fragment else set()
+
+    def score(self, i: int, title: str | None, original: str | None) -> int:
+        """The relevance of a title to a pattern, 0 without a match; the same as ``relevance``."""
+        def holds(text: str | None) -> bool:
+            return text is not None and (self.inside[i].fullmatch(text) is not None if i in self.inside else self.sources[i] in text)
+
+        in_title = holds(title)
+        if not in_title:
+            return ORIGINAL if holds(original) else 0
+        if title == self.exact[i]:
+            return EXACT
+        begins = self.start[i].fullmatch(title) is not None if i in self.start else title.startswith(self.sources[i])
+        return PREFIX if begins else CONTAINS
+
+
+def _best(k: int):
+    def run(titles: pa.Table, queries: pa.Table) -> pa.Table:
+        asked, placed, scores = [], [], []
+        if len(titles) and len(queries):
+            patterns = Patterns(*(queries.column(c).to_pylist() for c in ("exact", "source")))
+            forms, originals, popular, ids = (titles.column(c).to_pylist() for c in ("title_form", "original_form", "popularity", "id"))
+            found: dict[int, list[tuple]] = {}
+
+            def add(i: int, place: int, score: int) -> None:
+                held = found.setdefault(i, [])
+                held.append((-score, popular[place] is None, -(popular[place] or 0), ids[place], place))
+                if len(held) > 8 * k:
+                    held[:] = heapq.nsmallest(k, held)
+
+            named: dict[str, list[int]] = {}
+            for place, (title, original) in enumerate(zip(forms, originals)):
+                for i in patterns.near(title) | patterns.near(original):
+                    if score := patterns.score(i, title, original):
+                        add(i, place, score)
+                if patterns.by_length and title is not None:
+                    named.setdefault(title, []).append(place)
+            for length, owners in patterns.by_length.items():
+                # All patterns of a length share their best; a title that is written like the pattern itself comes first.
+                shared: list[tuple] = []
+                for place, (title, original) in enumerate(zip(forms, originals)):
+                    score = PREFIX if title is not None and len(title) >= length else ORIGINAL if original is not None and len(original) >= length else 0
+                    if score:
+                        shared.append((-score, popular[place] is None, -(popular[place] or 0), ids[place], place))
+                shared = heapq.nsmallest(k, shared)
+                for i in owners:
+                    same = set(named.get(patterns.exact[i], ()))
+                    found[i] = [x for x in shared if x[-1] not in same]
+                    for place in same:
+                        if score := patterns.score(i, forms[place], originals[place]):
+                            add(i, place, score)
+            for i, held in found.items():
+                for score, *_, place in heapq.nsmallest(k, held):
+                    asked.append(i)
+                    placed.append(place)
+                    scores.append(-score)
+        rows, owners = titles.take(pa.array(placed, pa.int64())), queries.take(pa.array(asked, pa.int64()))
+        return pa.table([owners.column("query_id"), *(rows.column(c) for c in ("id", "title", "popularity")), pa.array(scores, pa.int32())], names=["query_id", "id", "title", "popularity", "relevance_score"])
+
+    return run
 
 
 def search_many(
-    movies: DataFrame, queries: DataFrame, k: int = SUGGESTIONS, literal: bool = False, rows_per_task: int = ROWS_PER_TASK
+    movies: DataFrame, queries: DataFrame, k: int = SUGGESTIONS, literal: bool = False, rows_per_task: int = ROWS_PER_TASK, queries_per_task: int = QUERIES_PER_TASK
 ) -> DataFrame:
     """The k best matches of every query in a table (query_id, query), as ranked rows; a refused query has one row with its ``error``.
 
-    Queries and titles meet by an equi-join on a two-character piece: every text that contains the query holds
-    all pieces of it, so it is enough to compare under the query's rarest piece. A piece of many titles is spread
-    over several tasks. Movies with equal titles score alike, so beforehand each distinct title keeps its k most popular.
+    Titles and queries are dealt to parts of bounded size, and a task runs one part's titles through an automaton (Aho-Corasick) over one part's literal fragments, so a title meets
+    the queries whose longest fragment it holds and no others; wildcards are verified after that. Queries of wildcards alone are answered once for each number of characters they ask for. A task hands
+    on k rows for each query. Movies with equal titles score alike, so beforehand each distinct title keeps its k most popular.
     """
     refused = checked_queries(queries).filter(F.col("error").isNotNull())
     queries = checked_queries(queries).filter(F.col("error").isNull()).select("query_id", "query")
@@ -123,26 +210,17 @@ def search_many(
     popular = [F.col("popularity").desc_nulls_last(), F.col("id").asc()]
     place = F.row_number().over(Window.partitionBy("title_form", "original_form").orderBy(*popular))
     best = movies.select("id", "title", "popularity", "title_form", "original_form")
-    best = best.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
-
-    both = F.concat(_pieces(F.col("title_form")), F.coalesce(_pieces(F.col("original_form")), F.array().cast("array<string>")))
-    titles = best.withColumn("piece", F.explode(F.array_distinct(F.coalesce(both, F.array(F.lit(""))))))
-    spread = titles.groupBy("piece").agg(F.ceil(F.count("*") / rows_per_task).cast("int").alias("tasks"), F.count("*").alias("titles"))
-
-    # Pieces with a wildcard or an escape in them say nothing about the text; the empty piece always remains.
-    queries = queries.select("query_id", search_form(F.col("query")).alias("exact"), search_form(like_text(F.col("query"), literal)).alias("source"))
-    queries = queries.withColumn("plain", ~F.col("source").rlike(r"[%_\\]"))
-    asked = queries.withColumn("piece", F.explode(F.array_distinct(_pieces(F.col("source")))))
-    asked = asked.filter(~F.col("piece").rlike(r"[%_\\]"))
-    counted = asked.join(spread, "piece", "left").fillna({"titles": 0, "tasks": 1})
-    rarest = counted.groupBy("query_id", "exact", "source", "plain").agg(F.min(F.struct("titles", "piece", "tasks")).alias("_r"))
-    rarest = rarest.select("query_id", "exact", "source", "plain", "_r.piece", "_r.tasks")
-
-    used = rarest.select("piece", "tasks").distinct()
-    keyed = titles.join(used, "piece").withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).drop("tasks")
-    sought = rarest.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
-    match, score = relevance(F.col("exact"), F.col("source"), F.col("plain"))
-    found = keyed.join(sought, ["piece", "task"]).filter(match).withColumn("relevance_score", score)
+    best = staged(best.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place"), "search-titles")
+    sought = staged(queries.select("query_id", search_form(F.col("query")).alias("exact"), search_form(like_text(F.col("query"), literal)).alias("source")), "search-queries")
+
+    chunks, parts = max(1, math.ceil(best.count() / rows_per_task)), max(1, math.ceil(sought.count() / queries_per_task))
+    spark = movies.sparkSession
+    chunks = max(chunks, spark.sparkContext.defaultParallelism // parts)
+    held = best.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = sought.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    kinds = dict(best.dtypes) | dict(sought.dtypes)
+    shape = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "id", "title", "popularity")) + ", relevance_score int"
+    found = held.groupBy("chunk", "part").cogroup(asked.groupBy("chunk", "part")).applyInArrow(_best(k), shape)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), *popular))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k)
     answers = ranked.select("query_id", "rank", "id", "title", "popularity", "relevance_score", F.lit(None).cast("string").alias("error"))

@@ -11,13 +11,12 @@ To the driver come the sizes of at most 100 lists and the numbers of the parts t
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.functions.text import like_text, search_form
+from marquee.functions.text import like_fragments, like_text, search_form
 from marquee.plans.search import relevance, with_search_forms
 from marquee.session import dealt_out, fresh_path
 
@@ -29,22 +28,10 @@ BUCKETS = 64
 PARTS = 64
 
 
-def fragments(source: str) -> list[str]:
-    """The literal runs of a LIKE pattern."""
-    found, run = [], ""
-    for token in re.findall(r"\\.|[^\\]|\\$", source, re.DOTALL):
-        if token in ("%", "_"):
-            found.append(run)
-            run = ""
-        else:
-            run += token[1:] if token[0] == "\\" and len(token) > 1 else token
-    return [f for f in [*found, run] if f]
-
-
 def keys(source: str) -> list[str]:
     """Pieces that every matching text holds: whole ones, and beginnings of pieces for fragments of two characters."""
     found = []
-    for fragment in fragments(source):
+    for fragment in like_fragments(f"%{source}%"):  # as it is compared: an escape at its end escapes the wildcard behind it
         if len(fragment) >= PIECE:
             found += [fragment[i: i + PIECE] for i in range(len(fragment) - PIECE + 1)]
         elif len(fragment) == LEAST:

@@ -1,6 +1,8 @@
 import datetime as dt
 
 import numpy as np
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +116,27 @@ def test_search_many_agrees_with_single_searches(spark, catalogue):
             assert got == ([] if not 2 <= len(text.strip()) <= 100 else ids(search.search(catalogue, text).items)[:5]), text
 
 
+def test_many_wildcard_queries(spark):
+    """A thousand patterns, among them wildcards alone, against the comparison of single searches."""
+    rng = random.Random(12)
+    titles = ["".join(rng.choice("abcd %_") for _ in range(rng.randrange(0, 9))) for _ in range(120)] + ["%%", "__", "a%b", None]
+    movies = search.with_search_forms(spark.createDataFrame([(i, t, rng.choice([None, "abc", "da"]), rng.choice([None, 1.0, 2.0, 3.0])) for i, t in enumerate(titles)],
+                                                            "id long, title string, original_title string, popularity double"))
+    texts = ["".join(rng.choice("abcd%_\\") for _ in range(rng.randrange(2, 6))) for _ in range(1000)] + ["%%", "__", "%_%", "_________", "a%b"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
+    found = {}
+    for r in search.search_many(movies, queries, 3, rows_per_task=50, queries_per_task=400).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.id, r.relevance_score))
+    patterns = queries.select("query_id", search.search_form(F.col("query")).alias("exact"), search.search_form(like_text(F.col("query"))).alias("source"))
+    match, score = search.relevance(F.col("exact"), F.col("source"))
+    single = movies.crossJoin(patterns).filter(match).select("query_id", "id", "popularity", score.alias("score")).collect()
+    expected = {}
+    for r in sorted(single, key=lambda r: (-r.score, r.popularity is None, -(r.popularity or 0), r.id)):
+        if len(expected.setdefault(r.query_id, [])) < 3:
+            expected[r.query_id].append((len(expected[r.query_id]) + 1, r.id, r.score))
+    assert {i: sorted(x) for i, x in found.items() if x[0][1] is not None} == expected
+
+
 def test_like_text(spark):
     df = spark.createDataFrame([("a%b",), ("a\\b",), ("a\\%",), ("\\\\b",), ("x\\",)], "q string")
     assert [r[0] for r in df.select(like_text(F.col("q"))).collect()] == ["a%b", "ab", "a\\%", "\\\\b", "x\\"]
