@@ -85,10 +85,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc, version (hash of the text) and the sorted numbers of the lines to delete."""
     found = stored(fingerprints(docs, id_col, text_col, min_run, long_words), "winnow")
     place = F.struct("doc", "version", "place")
-    prints = found.groupBy("alone", "print").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("alone", "print")
+    # Written before they are joined, so that the join's other side has a shuffle of its own, which Spark may split.
+    prints = stored(found.groupBy("alone", "print").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("alone", "print"), "winnow-prints")
     near = stored(extended(docs, found.join(prints, ["alone", "print"], "left_semi"), id_col, text_col, min_run), "winnow-windows")
     span = F.struct("doc", "version", "at")
-    firsts = near.groupBy("digest").agg(F.min(span).alias("first"), F.max(span).alias("last")).where("first <> last").select("digest", "first")
+    firsts = stored(near.groupBy("digest").agg(F.min(span).alias("first"), F.max(span).alias("last")).where("first <> last").select("digest", "first"), "winnow-firsts")
     other = ~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("version") == F.col("first.version")))
     placed = near.join(firsts, "digest").select("doc", "version", F.explode("at").alias("line"), (span == F.col("first")).alias("stays"), other.alias("other"))
     gone = placed.groupBy("doc", "version", "line").agg(F.bool_or("stays").alias("stays"), F.bool_or("other").alias("other")).where("other or not stays")
