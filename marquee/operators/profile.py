@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from marquee.functions import coerce
 from marquee.operators.nested import JSON_OPTIONS, with_json
-from marquee.operators.quantiles import approximate_quantiles, exact_quantiles
-from marquee.session import dealt_out
+from marquee.operators.quantiles import approximate_quantiles, exact_quantiles, quantiles_of_counts
+from marquee.session import dealt_out, staged
 
 # Phrases counted as placeholder text (compared in lower case, not trimmed), and the
 # plausible calendar of releases.
@@ -81,16 +81,15 @@ def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, min, max, mean, zeros, negatives, non_numeric)."""
-    types = dict(df.dtypes)
+    return _unfold(df, {c: _numeric_measures(df, c) for c in _present(df, columns)})
 
-    def measures(c: str) -> dict[str, Column]:
-        v = coerce.number_of(F.col(c), types[c])
-        return {
-            "min": F.min(v), "max": F.max(v), "mean": F.avg(v), "zeros": F.count_if(v == 0),
-            "negatives": F.count_if(v < 0), "non_numeric": F.count_if(v.isNull() & F.col(c).isNotNull()),
-        }
 
-    return _unfold(df, {c: measures(c) for c in _present(df, columns)})
+def _numeric_measures(df: DataFrame, c: str) -> dict[str, Column]:
+    v = coerce.number_of(F.col(c), dict(df.dtypes)[c])
+    return {
+        "min": F.min(v), "max": F.max(v), "mean": F.avg(v), "zeros": F.count_if(v == 0),
+        "negatives": F.count_if(v < 0), "non_numeric": F.count_if(v.isNull() & F.col(c).isNotNull()),
+    }
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.5, 0.9, 0.99), exact: bool = True) -> DataFrame:
@@ -133,44 +132,45 @@ def value_counts(df: DataFrame, columns: Sequence[str], n: int = 3) -> DataFrame
 
 def date_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, earliest, latest, before_1880, after_2030, unparseable)."""
-    types = dict(df.dtypes)
+    return _unfold(df, {c: _date_measures(df, c) for c in _present(df, columns)})
 
-    def measures(c: str) -> dict[str, Column]:
-        day = coerce.day_of(F.col(c), types[c])
-        return {
-            "earliest": F.min(day), "latest": F.max(day),
-            "before_1880": F.count_if(day < F.lit(FIRST_PLAUSIBLE).cast("date")),
-            "after_2030": F.count_if(day > F.lit(LAST_PLAUSIBLE).cast("date")),
-            "unparseable": F.count_if(day.isNull() & F.col(c).isNotNull()),
-        }
 
-    return _unfold(df, {c: measures(c) for c in _present(df, columns)})
+def _date_measures(df: DataFrame, c: str) -> dict[str, Column]:
+    day = coerce.day_of(F.col(c), dict(df.dtypes)[c])
+    return {
+        "earliest": F.min(day), "latest": F.max(day),
+        "before_1880": F.count_if(day < F.lit(FIRST_PLAUSIBLE).cast("date")),
+        "after_2030": F.count_if(day > F.lit(LAST_PLAUSIBLE).cast("date")),
+        "unparseable": F.count_if(day.isNull() & F.col(c).isNotNull()),
+    }
 
 
 def text_quality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, present, avg_length, min_length, max_length, short, placeholders)."""
-    def measures(c: str) -> dict[str, Column]:
-        size = F.length(c)
-        return {
-            "present": F.count(c), "avg_length": F.avg(size), "min_length": F.min(size), "max_length": F.max(size),
-            "short": F.count_if(size < 10), "placeholders": F.count_if(F.lower(c).isin(*PLACEHOLDERS)),
-        }
+    return _unfold(df, {c: _text_measures(df, c) for c in _present(df, columns)})
 
-    return _unfold(df, {c: measures(c) for c in _present(df, columns)})
+
+def _text_measures(df: DataFrame, c: str) -> dict[str, Column]:
+    size = F.length(c)
+    return {
+        "present": F.count(c), "avg_length": F.avg(size), "min_length": F.min(size), "max_length": F.max(size),
+        "short": F.count_if(size < 10), "placeholders": F.count_if(F.lower(c).isin(*PLACEHOLDERS)),
+    }
 
 
 def space_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, leading, trailing, double_space, tab, carriage_return, nbsp, unicode_escape)."""
-    def measures(c: str) -> dict[str, Column]:
-        text = F.col(c)
-        return {
-            "leading": F.count_if(text.startswith(" ")), "trailing": F.count_if(text.endswith(" ")),
-            "double_space": F.count_if(text.contains("  ")), "tab": F.count_if(text.contains("\t")),
-            "carriage_return": F.count_if(text.contains("\r")), "nbsp": F.count_if(text.contains("\u00a0")),
-            "unicode_escape": F.count_if(text.rlike(r"\\u[0-9a-fA-F]{4}")),
-        }
+    return _unfold(df, {c: _space_measures(df, c) for c in _present(df, columns)})
 
-    return _unfold(df, {c: measures(c) for c in _present(df, columns)})
+
+def _space_measures(df: DataFrame, c: str) -> dict[str, Column]:
+    text = F.col(c)
+    return {
+        "leading": F.count_if(text.startswith(" ")), "trailing": F.count_if(text.endswith(" ")),
+        "double_space": F.count_if(text.contains("  ")), "tab": F.count_if(text.contains("\t")),
+        "carriage_return": F.count_if(text.contains("\r")), "nbsp": F.count_if(text.contains("\u00a0")),
+        "unicode_escape": F.count_if(text.rlike(r"\\u[0-9a-fA-F]{4}")),
+    }
 
 
 def cell_quality(
@@ -196,10 +196,17 @@ def cell_quality(
 
 
 def _cell_states(cells: DataFrame) -> DataFrame:
-    """(state) of the literal cells in the only column: ``failed``, ``empty_list``, ``ok``, or null for a null cell.
+    """(state) of the literal cells in the only column."""
+    return _with_state(dealt_out(cells), "state", cells.columns[0]).select("state")
+
+
+def _with_state(df: DataFrame, alias: str, cell: str) -> DataFrame:
+    """Add the state of a literal cell: ``failed``, ``empty_list``, ``ok``, or null for a null cell.
 
     Lists of dicts are judged in the JVM, other cells by Python's own reader.
     """
+    kept = [c for c in df.columns if c != alias]
+
     def judge(text: str | None) -> str | None:
         if text is None:
             return None
@@ -212,12 +219,12 @@ def _cell_states(cells: DataFrame) -> DataFrame:
     def judged(cells: pa.Array) -> pa.Array:
         return pa.array([judge(c) for c in cells.to_pylist()], type=pa.string())
 
-    (cell,) = cells.columns
-    df = with_json(dealt_out(cells), "_json", cell)
+    df = with_json(df, "_json", cell)
     df = df.withColumn("_read", F.from_json("_json", "v array<struct<any:string>>, _bad string", JSON_OPTIONS))
     df = df.withColumn("_good", F.coalesce(F.col("_json").isNotNull() & F.col("_read._bad").isNull(), F.lit(False)))
     df = df.withColumn("_rest", judged.asNondeterministic()(F.when(~F.col("_good"), F.col(cell))))
-    return df.select(F.when(F.col("_good"), F.when(F.size("_read.v") == 0, "empty_list").otherwise("ok")).otherwise(F.col("_rest")).alias("state"))
+    native = F.when(F.size("_read.v") == 0, "empty_list").otherwise("ok")
+    return df.select(*kept, F.when(F.col("_good"), native).otherwise(F.col("_rest")).alias(alias))
 
 
 def tag_coverage(df: DataFrame, column: str) -> DataFrame:
@@ -299,37 +306,61 @@ def profile(df: DataFrame, spec: Mapping[str, Sequence[str]]) -> DataFrame:
     """(section, subject, metric, value): the whole profile of a file as one long table.
 
     ``spec`` names the columns of each section: ``keys``, ``numeric``, ``categorical``, ``dates``, ``texts``, ``spaces``
-    and ``cells``; ``basic`` and ``missing`` always run.
+    and ``cells``; ``basic`` and ``missing`` always run. The file is read twice, whatever the sections: one aggregation holds all measures of rows, and one
+    shuffle of (kind, column, value) counts serves duplicates, cardinality and quantiles.
     """
-    def melt(section: str, report: DataFrame, subject: str) -> DataFrame:
-        metrics = [c for c in report.columns if c != subject]
-        cells = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
-        return report.select(F.lit(section).alias("section"), F.col(subject).alias("subject"), F.inline(F.array(*cells)))
-
-    def days(report: DataFrame) -> DataFrame:
-        epoch = F.lit("1970-01-01").cast("date")
-        return report.withColumns({c: F.date_diff(c, epoch) for c in ("earliest", "latest")})
-
-    basic = df.agg(F.count("*").alias("rows")).select(F.lit("table").alias("subject"), "rows", F.lit(len(df.columns)).alias("columns"))
-    full = full_duplicates(df).select(F.lit("rows").alias("subject"), "duplicates")
-    parts = [melt("basic", basic, "subject"), melt("missing", missing(df), "column"), melt("duplicates", full, "subject")]
-    if spec.get("keys"):
-        parts.append(melt("duplicates", key_duplicates(df, spec["keys"]), "key"))
-    if spec.get("numeric"):
-        parts.append(melt("numeric", numeric_profile(df, spec["numeric"]), "column"))
-        q = quantiles(df, spec["numeric"])
+    chosen = {section: _present(df, spec.get(section, ())) for section in ("keys", "numeric", "categorical", "dates", "texts", "spaces", "cells")}
+    row_level = {"numeric": _numeric_measures, "dates": _date_measures, "texts": _text_measures, "spaces": _space_measures}
+    epoch = F.lit("1970-01-01").cast("date")
+
+    # Measures of rows.
+    n = F.count("*")
+    cells = [("basic", "table", "rows", n, True), ("basic", "table", "columns", F.max(F.lit(len(df.columns))), True)]
+    for c in df.columns:
+        lacking = F.count_if(F.col(f"`{c}`").isNull())
+        cells += [("missing", c, "missing", lacking, lacking > 0), ("missing", c, "pct", _pct(lacking, n), lacking > 0)]
+    for section, measures in row_level.items():
+        for c in chosen[section]:
+            for metric, value in measures(df, c).items():
+                cells.append((section, c, metric, F.date_diff(value, epoch) if metric in ("earliest", "latest") else value, True))
+    judged = df
+    for i, c in enumerate(chosen["cells"]):
+        judged, state = _with_state(judged, f"_state{i}", c), F.col(f"_state{i}")
+        for metric, held in (("cells", state.isNotNull()), ("parsed", state != "failed"), ("failed", state == "failed"), ("empty_lists", state == "empty_list")):
+            cells.append(("cells", c, metric, F.count_if(held), True))
+    flat = judged.agg(*[value.cast("double").alias(f"v{i}") for i, (*_, value, _) in enumerate(cells)], *[F.lit(shown).alias(f"s{i}") for i, (*_, shown) in enumerate(cells)])
+    rows = [F.struct(F.lit(section).alias("section"), F.lit(subject).alias("subject"), F.lit(metric).alias("metric"), F.col(f"v{i}").alias("value"), F.col(f"s{i}").alias("shown"))
+            for i, (section, subject, metric, _, _) in enumerate(cells)]
+    measured = flat.select(F.inline(F.array(*rows))).filter("shown").drop("shown")
+
+    # Counts of values. A row's content is told by a digest; nulls are values of rows and keys only.
+    def entry(kind: str, c: str, text: Column | None = None, number: Column | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("column"), (F.lit(None) if text is None else text).cast("string").alias("text"), (F.lit(None) if number is None else number).cast("double").alias("v"))
+
+    types = dict(df.dtypes)
+    content = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}), 256)
+    entries = [entry("row", "rows", content), *(entry("key", c, F.col(c)) for c in chosen["keys"]), *(entry("value", c, F.col(c)) for c in chosen["categorical"]),
+               *(entry("number", c, number=coerce.number_of(F.col(c), types[c])) for c in chosen["numeric"])]
+    long = df.select(F.inline(F.array(*entries))).filter(F.col("kind").isin("row", "key") | F.col("text").isNotNull() | F.col("v").isNotNull())
+    counts = staged(long.groupBy("kind", "column", "text", "v").agg(F.count("*").alias("m")), "profile-counts")
+    sums = counts.groupBy("kind", "column").agg(F.sum(F.col("m") - 1).alias("beyond"), F.sum(F.when(F.col("m") > 1, F.col("m"))).alias("involved"), F.count("*").alias("values"))
+
+    def known(kind: str, names: Sequence[str], section: str, metric: str, value: str) -> DataFrame:
+        """A metric of every named column, 0 where it has no values."""
+        frame = df.sparkSession.createDataFrame([(c,) for c in names], "subject string")
+        own = sums.filter(F.col("kind") == kind).select(F.col("column").alias("subject"), F.col(value).cast("double").alias("value"))
+        return frame.join(own, "subject", "left").select(F.lit(section).alias("section"), "subject", F.lit(metric).alias("metric"), F.coalesce("value", F.lit(0.0)).alias("value"))
+
+    parts = [measured, known("row", ["rows"], "duplicates", "duplicates", "beyond")]
+    if chosen["keys"]:
+        parts.append(known("key", chosen["keys"], "duplicates", "rows_involved", "involved"))
+    if chosen["categorical"]:
+        with_values = sums.filter(F.col("kind") == "value")
+        parts.append(with_values.select(F.lit("categorical").alias("section"), F.col("column").alias("subject"), F.lit("distinct").alias("metric"), F.col("values").cast("double").alias("value")))
+    if chosen["numeric"]:
+        q = quantiles_of_counts(counts.filter(F.col("kind") == "number").select("column", "v", "m"))
         named = F.concat(F.lit("p"), F.round(F.col("p") * 100).cast("int").cast("string"))
         parts.append(q.select(F.lit("numeric").alias("section"), F.col("column").alias("subject"), named.alias("metric"), F.col("quantile").alias("value")))
-    if spec.get("categorical"):
-        parts.append(melt("categorical", cardinality(df, spec["categorical"]), "column"))
-    if spec.get("dates"):
-        parts.append(melt("dates", days(date_profile(df, spec["dates"])), "column"))
-    if spec.get("texts"):
-        parts.append(melt("texts", text_quality(df, spec["texts"]), "column"))
-    if spec.get("spaces"):
-        parts.append(melt("spaces", space_profile(df, spec["spaces"]), "column"))
-    if spec.get("cells"):
-        parts.append(melt("cells", cell_quality(df, spec["cells"]), "column"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -24,8 +24,12 @@ def _long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
     """(column, p, quantile) with linear interpolation between the two neighbouring ranks; columns without values are left out."""
-    counted = _long_form(df, columns).groupBy("column", "v").agg(F.count("*").alias("m"))
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return quantiles_of_counts(_long_form(df, columns).groupBy("column", "v").agg(F.count("*").alias("m")), probs)
+
+
+def quantiles_of_counts(counted: DataFrame, probs: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """The same from counted values: column, v and its number of rows m."""
+    ranges = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_values = counted.repartitionByRange(ranges, "column", "v")
     placed = staged(sorted_values.withColumn("part", F.spark_partition_id()), "quantiles")
     # One row per column and range: how many values lie before it, and how many there are.

@@ -223,3 +223,31 @@ def test_cross_file_report_reads_each_file_once(spark, tmp_path):
     plan = report._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 3 and plan.count("Exchange hashpartitioning") == 1
     assert {r["measure"]: r["n"] for r in report.collect()}["credits_without_movie"] == 2
+
+
+def test_whole_profile_reads_its_input_twice(spark, tmp_path):
+    """One aggregation for measures of rows, one shuffle of counted values, whatever the sections."""
+    rows = [(i % 7, f"v{i % 3}" if i % 5 else None, float(i % 11) if i % 4 else None, ["[]", "oops", "[{'a': \"it's\"}]", None][i % 4], "2001-02-03") for i in range(200)]
+    spark.createDataFrame(rows, "k int, t string, x double, c string, d string").write.parquet(f"{tmp_path}/in")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    spec = {"keys": ["k", "t"], "numeric": ["x", "k"], "categorical": ["t", "k"], "dates": ["d"], "texts": ["t"], "spaces": ["t", "c"], "cells": ["c"]}
+    read = []
+    original = profile.staged
+    try:
+        profile.staged = lambda frame, label: (read.append(frame._jdf.queryExecution().optimizedPlan().toString().count("Relation")), original(frame, label))[1]
+        whole = profile.profile(df, spec)
+    finally:
+        profile.staged = original
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{tmp_path}/in") == 1 and read == [1]  # the measures, and the counts that were staged
+    got = {(r.section, r.subject, r.metric): r.value for r in whole.collect()}
+    assert got["basic", "table", "rows"] == 200 and got["missing", "t", "missing"] == 40 and got["missing", "t", "pct"] == 20 and ("missing", "k", "missing") not in got
+    assert got["duplicates", "rows", "duplicates"] == 200 - len(set(rows)) and got["duplicates", "k", "rows_involved"] == 200 and got["duplicates", "t", "rows_involved"] == 200
+    assert got["categorical", "t", "distinct"] == 3 and got["categorical", "k", "distinct"] == 7 and got["numeric", "x", "max"] == 10 and got["dates", "d", "unparseable"] == 0
+    numbers = sorted(r[2] for r in rows if r[2] is not None)
+    import numpy as np
+
+    assert got["numeric", "x", "p90"] == pytest.approx(np.quantile(numbers, 0.9)) and got["numeric", "k", "p50"] == 3
+    assert [got["cells", "c", m] for m in ("cells", "parsed", "failed", "empty_lists")] == [150, 100, 50, 50]
+    none = {(r.section, r.subject, r.metric): r.value for r in profile.profile(df.limit(0), spec).collect()}
+    assert none["basic", "table", "rows"] == 0 and none["duplicates", "k", "rows_involved"] == 0 and none["duplicates", "rows", "duplicates"] == 0
