@@ -64,6 +64,18 @@ def test_cascade_order_and_laziness(spark):
     assert spark.range(1).select(quality_cascade.cascade([cheap, fails]).alias("r")).first().r == "a"
 
 
+def test_a_slow_rule_moves_back(spark):
+    """Costs are the rules' own: with the job's overhead in them, the slower rule with slightly more rejections would come first."""
+    rng = random.Random(1)
+    sample = quality_cascade.stored(spark.createDataFrame([(i, prose(rng, 200)) for i in range(400)], "doc_id long, text string"), "test-rules")
+    slow = quality_cascade.Rule("slow", (F.regexp_count("text", F.lit("(w[0-9]*1 ?)+(w[0-9]*2 ?)+")) >= 0) & (F.col("doc_id") % 10 < 5))
+    quick = quality_cascade.Rule("quick", F.col("doc_id") % 10 < 4)
+    figures = {x["rule"].name: x for x in quality_cascade.measured(sample, [slow, quick])}
+    assert figures["slow"]["rejects"] == 0.5 and figures["quick"]["rejects"] == 0.4
+    assert figures["slow"]["cost"] > 3 * figures["quick"]["cost"]
+    assert [r.name for r in quality_cascade.ordered(list(figures.values()))] == ["quick", "slow"]
+
+
 def brute_lines(rows, run, long=winnow_lines.LONG_WORDS):
     """What is left of the texts by (id, text)."""
     blank = " \t\x0b\x0c\r"
