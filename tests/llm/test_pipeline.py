@@ -48,7 +48,10 @@ def test_stages(spark, corpus):
     assert kept.columns == docs.columns
 
     lines = stored(steps["line dedup"](spark, kept, path), "t2")
-    assert Counter(t for _, t in pairs(lines)) == Counter([t if t is None else brute_lines(pairs(kept), 2)[(i, t)] for i, t in pairs(kept)])
+    left = brute_lines(pairs(kept), 2)
+    expected_lines = [(t, t if t is None else left[(i, t)]) for i, t in pairs(kept)]
+    assert Counter(t for _, t in pairs(lines)) == Counter(after for before, after in expected_lines if after == before or WORDS.search(after))
+    assert any(after != before and not WORDS.search(after) for before, after in expected_lines)  # a copy of one long line leaves nothing
 
     near = stored(steps["near-dedup"](spark, lines, path), "t3")
     expected = {c for (_, n, c) in brute_components(pairs(lines), 5) if n}
@@ -70,4 +73,4 @@ def test_stages(spark, corpus):
     assert all(sum(n for _, n in spans) <= 2048 for spans in placed.values())
 
     whole = corpus_pipeline.run(spark, path).collect()
-    assert Counter((p.doc_id, p.start, p.length, p.ids_crc32) for p in whole) == Counter((p.doc_id, p.start, p.length, p.ids_crc32) for p in pieces) or sum(p.length for p in whole) == sum(p.length for p in pieces)
+    assert Counter((p.doc_id, p.start, p.length, p.ids_crc32) for p in whole) == Counter((p.doc_id, p.start, p.length, p.ids_crc32) for p in pieces)
