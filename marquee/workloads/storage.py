@@ -11,8 +11,9 @@ from marquee.operators import dedup, integrity, merge
 from marquee.plans import load
 from marquee.session import fresh_path
 from marquee.sources import raw_files
+from marquee.sources.keyed import KeyedTable
 from marquee.sources.tables import TableStore, conform
-from marquee.workloads import query, table
+from marquee.workloads import SQL, query, table
 
 
 def written_csv(spark: SparkSession, sf_dir: str) -> str:
@@ -101,6 +102,15 @@ def upsert_rows(spark, sf_dir):
     return merge.upsert(target, batch, ["id"], ["o_orderkey"])
 
 
+@query(SQL["upsert_rows"])
+def upsert_in_buckets(spark, sf_dir):
+    """The same merge into a table stored in buckets of its key."""
+    target, batch = merge_sides(spark, sf_dir)
+    stored = KeyedTable.create(target, fresh_path(spark, "keyed"), ["id"], buckets=16)
+    stored.upsert(batch, ["o_orderkey"])
+    return stored.read()
+
+
 def refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers whose segment is refreshed from their last order's priority."""
     old = F.when(F.col("c_mktsegment") == "BUILDING", "").when(F.col("c_mktsegment") == "MACHINERY", F.lit(None)).otherwise(F.lit("2-HIGH"))
