@@ -22,6 +22,12 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
         return matrix / np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
 
 
+def has_direction(vector: Column) -> Column:
+    """Whether a vector is present, all finite and not zero."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
 def cosine_to(vector: Column, reference: list[float]) -> Column:
     """Cosine similarity of each vector to one reference; null for null or zero vectors."""
     target = unit_rows(np.asarray([reference], dtype=np.float64))[0]

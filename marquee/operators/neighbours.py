@@ -19,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marquee.functions.vectors import cosine_to, matrix_of, unit_rows
+from marquee.functions.vectors import cosine_to, has_direction, matrix_of, unit_rows
 from marquee.session import fresh_path
 
 DIGITS = 12  # similarities are compared to this many decimals, so equal vectors tie and the id decides
 SLACK = 1e-6  # distances closer than this count as equal when a cell is ruled out
 MOST_PIVOTS = 1024  # bounds what is collected and broadcast: so many vectors and cell sizes
+MOST_PARTS = 12  # parts of a side of the grid of tiles, unless they get too large
+LARGEST_PART = 65_536
+BLOCK, CHUNK = 256, 16_384  # rows and columns of a tile that are multiplied at once
 RANKED = "id bigint, neighbour bigint, similarity double"
 
 
@@ -161,22 +164,32 @@ class VectorIndex:
 # ---- the neighbours of every vector -------------------------------------------------------------------------------
 
 
-def nearest_for_all(vectors: DataFrame, k: int = 10, tile_rows: int = 65_536) -> DataFrame:
-    """(id, rank, neighbour, similarity): the k nearest other vectors of each vector.
+def nearest_for_all(vectors: DataFrame, k: int = 10, tile_rows: int = 65_536, asked: DataFrame | None = None) -> DataFrame:
+    """(id, rank, neighbour, similarity): the k nearest other vectors of each vector, or of the rows ``asked`` for.
 
     Rows are dealt by hash to parts of about ``tile_rows``; a task compares one part's rows with another's, one tile of the grid, and hands on k
-    rows for each. A vector is copied twice per part, the root of the number of tiles, and all tiles are of a size, whatever the vectors are like. The arithmetic is that
-    of all pairs; for large tables that need not be exact there is ``approximate_for_many``.
+    rows for each. A vector is copied once per part of the other side, and a side is cut into ``MOST_PARTS`` at most until its parts reach ``LARGEST_PART`` rows: up to there what is
+    shuffled grows as the vectors do. The arithmetic is that of all pairs; for large tables that need not be exact there is ``approximate_for_many``.
     """
-    whole = vectors.filter(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)).select("id", "embedding")
-    parts = max(1, math.ceil(vectors.count() / tile_rows))
-    own = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    rows, columns = whole.withColumn("row", own).withColumn("column", other), whole.withColumn("column", own).withColumn("row", other)
-    tiles = rows.groupBy("row", "column").cogroup(columns.groupBy("row", "column")).applyInArrow(_visit(k), RANKED)
+    sought = vectors if asked is None else asked
+    rows, columns = _parts_of(sought.count(), tile_rows), _parts_of(vectors.count(), tile_rows)
+
+    def dealt(side: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(own)
+        copies = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
+        kept = side.filter(has_direction(F.col("embedding")))
+        # Spread by number: tiles are few bytes and much work, so they are not to be put together by their size. Aliases keep sides of one table apart.
+        copied = kept.select(F.col("id").alias("id"), F.col("embedding").alias("embedding"), part, copies)
+        return copied.repartition(2 * rows * columns, "row", "column").groupBy("row", "column")
+
+    tiles = dealt(sought, "row", rows, "column", columns).cogroup(dealt(vectors, "column", columns, "row", rows)).applyInArrow(_visit(k), RANKED)
     return _ranked(tiles, k)
 
 
+def _parts_of(count: int, part_rows: int) -> int:
+    return max(1, min(math.ceil(count / part_rows), max(MOST_PARTS, math.ceil(count / max(part_rows, LARGEST_PART)))))
+
+
 def approximate_for_many(index: VectorIndex, references: DataFrame, k: int = 10, probes: int | None = None, part_rows: int = 65_536) -> DataFrame:
     """(id, rank, neighbour, similarity) of each reference (id, embedding) among the vectors of its ``probes`` nearest cells, by default 13 of 16 of the cells.
 
@@ -197,7 +210,7 @@ def approximate_for_many(index: VectorIndex, references: DataFrame, k: int = 10,
         return spark.createDataFrame([], "id bigint, rank int, neighbour bigint, similarity double")
     sizes = F.broadcast(spark.createDataFrame(counts, "cell int, parts int"))  # a row per pivot
     # Aliases keep the two sides apart where they come from one table.
-    asked = references.filter(F.exists("embedding", lambda x: x != 0)).select(F.col("id").alias("id"), F.col("embedding").alias("embedding"), F.explode(cells.asNondeterministic()("embedding")).alias("cell"))
+    asked = references.filter(has_direction(F.col("embedding"))).select(F.col("id").alias("id"), F.col("embedding").alias("embedding"), F.explode(cells.asNondeterministic()("embedding")).alias("cell"))
     asked = asked.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     held = index.vectors.filter("cell >= 0").join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("id", "embedding", "cell", "part")
     pairs = asked.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInArrow(_visit(k), RANKED)
@@ -210,21 +223,43 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def _top_k(ids: np.ndarray, unit: np.ndarray, other_ids: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row index, neighbour and similarity of each row's best k others; ``other_ids`` must ascend."""
+    """Row index, neighbour and similarity of each row's best k others; ``other_ids`` must ascend.
+
+    Products in single precision, with a bound on their error, say which pairs can be among a row's best so far; those are scored in double precision.
+    """
+    slack = np.float32((unit.shape[1] + 16) * 2.0**-22)
+    unit32, other32 = unit.astype(np.float32), other.astype(np.float32)
+    own, own_end = np.searchsorted(other_ids, ids), np.searchsorted(other_ids, ids, "right")
     rows, picks, scores = [], [], []
-    for start in range(0, len(ids), 512):
-        block = np.round(unit[start:start + 512] @ other.T, DIGITS)
-        block[ids[start:start + 512, None] == other_ids[None, :]] = -np.inf
-        width = min(k, block.shape[1])
-        floor = np.partition(block, block.shape[1] - width, axis=1)[:, block.shape[1] - width]
-        row, col = np.nonzero((block >= floor[:, None]) & (block > -np.inf))
-        order = np.lexsort((col, -block[row, col], row))
-        row, col = row[order], col[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        kept = place < k
-        rows.append(row[kept] + start)
-        picks.append(other_ids[col[kept]])
-        scores.append(block[row[kept], col[kept]])
+    for start in range(0, len(ids), BLOCK):
+        block = slice(start, min(start + BLOCK, len(ids)))
+        size = block.stop - start
+        best_row, best_col, best_score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        floor = np.full(size, -np.inf, np.float32)
+        for left in range(0, len(other), CHUNK):
+            estimate = unit32[block] @ other32[left:left + CHUNK].T
+            width = estimate.shape[1]
+            for i in np.flatnonzero((own_end[block] > left) & (own[block] < left + width) & (own[block] < own_end[block])):
+                estimate[i, max(own[start + i] - left, 0):own_end[start + i] - left] = -np.inf  # the row itself
+            if left == 0 and width > k:
+                floor = np.partition(estimate, width - k, axis=1)[:, width - k]
+            hits = np.flatnonzero((estimate >= (floor - slack)[:, None]) & (estimate > -np.inf))
+            row, col = hits // width, hits % width
+            if len(hits) > estimate.size // 32:  # large groups of equal vectors
+                score = np.round(unit[block] @ other[left:left + CHUNK].T, DIGITS).ravel()[hits]
+            else:
+                score = np.round(np.einsum("ij,ij->i", unit[block][row], other[left:left + CHUNK][col]), DIGITS)
+            row, col, score = np.append(best_row, row), np.append(best_col, col + left), np.append(best_score, score)
+            order = np.lexsort((col, -score, row))
+            place = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+            order = order[place < k]
+            best_row, best_col, best_score = row[order], col[order], score[order]
+            last = np.flatnonzero(place[place < k] == k - 1)
+            floor = np.full(size, -np.inf, np.float32)
+            floor[best_row[last]] = best_score[last]
+        rows.append(best_row + start)
+        picks.append(other_ids[best_col])
+        scores.append(best_score)
     return np.concatenate(rows), np.concatenate(picks), np.concatenate(scores)
 
 

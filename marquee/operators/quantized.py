@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.functions.vectors import matrix_of, unit_rows
+from marquee.functions.vectors import has_direction, matrix_of, unit_rows
 from marquee.operators.neighbours import DIGITS, by_similarity
 from marquee.session import fresh_path
 
@@ -63,7 +63,7 @@ def k_means(rows: np.ndarray, seed: int) -> np.ndarray:
 
 
 def with_direction(vectors: DataFrame) -> DataFrame:
-    return vectors.filter(F.col("id").isNotNull() & F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)).select("id", "embedding")
+    return vectors.filter(F.col("id").isNotNull() & has_direction(F.col("embedding"))).select("id", "embedding")
 
 
 def train(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:

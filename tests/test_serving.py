@@ -2,6 +2,7 @@ import datetime as dt
 
 import numpy as np
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,6 +203,36 @@ def test_neighbours_of_all_are_exact(cloud, tile_rows):
     assert {i: [n for _, n in sorted(v)] for i, v in got.items()} == want
 
 
+def test_copies_per_vector_do_not_grow_with_the_table(spark):
+    """Twice the vectors, many times the part size: as many tiles, so as many copies of each."""
+    def copies(n):
+        df = nn.nearest_for_all(spark.range(n).select("id", F.array(F.cos("id"), F.sin("id")).cast("array<float>").alias("embedding")), 2, tile_rows=4)
+        return set(re.findall(r"hashpartitioning\(row#\d+, column#\d+, (\d+)\)", df._jdf.queryExecution().executedPlan().toString()))
+
+    assert copies(400) == copies(800) == {str(2 * nn.MOST_PARTS**2)}
+
+
+def test_neighbours_of_some_rows_only(spark, cloud):
+    points, df = cloud
+    df = df.union(spark.createDataFrame([(900, [float("nan")] * len(points[0])), (901, None)], df.schema))
+    want = {(i, r, n) for i, v in brute(points, 5).items() if i != 17 and i % 10 == 0 for r, n in enumerate(v, 1)}
+    found = nn.nearest_for_all(df, 5, 40, asked=df.filter("id % 10 = 0"))
+    assert {(r["id"], r["rank"], r["neighbour"]) for r in found.collect()} == want
+
+
+def test_best_of_many_copies_in_chunks(monkeypatch):
+    """Equal vectors in several chunks: the smaller ids win, whichever way the scores are computed."""
+    monkeypatch.setattr(nn, "CHUNK", 50)
+    base = np.random.default_rng(3).normal(size=(7, 6))
+    points = np.concatenate([np.repeat(base, 40, axis=0), np.random.default_rng(4).normal(size=(60, 6))])
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    row, neighbour, score = nn._top_k(np.arange(len(unit)), unit, np.arange(len(unit)), unit, 5)
+    sims = np.round(unit @ unit.T, nn.DIGITS)
+    for i in range(len(unit)):
+        others = sorted((j for j in range(len(unit)) if j != i), key=lambda j: (-sims[i, j], j))[:5]
+        assert neighbour[row == i].tolist() == others
+
+
 def test_index_search_is_exact(spark, cloud):
     points, df = cloud
     want = brute(points, 5)
