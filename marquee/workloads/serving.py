@@ -323,7 +323,7 @@ def similar_approximate(spark, sf_dir):
     index = neighbours.shared_index(vectors, cells=16)
     asked = vectors.filter("id % 10 = 0")
     near = neighbours.approximate_for_many(index, asked, 10, probes=13).select("id", "neighbour", F.lit(1).alias("found"))
-    exact = neighbours.nearest_for_all(vectors, 10, tile_rows=512).select("id", "neighbour").filter("id % 10 = 0")
+    exact = neighbours.nearest_for_all(vectors, 10, tile_rows=512, asked=asked).select("id", "neighbour")
     per_query = exact.join(near, ["id", "neighbour"], "left").groupBy("id").agg((F.count("found") / F.count("*")).alias("recall"))
     return per_query.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("recall_reached"))
 
@@ -341,8 +341,9 @@ def similar_quantized_recall(spark, sf_dir):
     """The measured recall of the quantised codes against exact neighbours, and the share of the vectors' bytes that a query reads."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     index = quantized.QuantizedIndex.build(vectors)
-    exact = neighbours.nearest_for_all(vectors, 10, tile_rows=8192).filter("id % 10 = 0")
-    measured = quantized.recall(index.search_many(vectors.filter("id % 10 = 0"), 10), exact)
+    asked = vectors.filter("id % 10 = 0")
+    exact = neighbours.nearest_for_all(vectors, 10, tile_rows=8192, asked=asked)
+    measured = quantized.recall(index.search_many(asked, 10), exact)
     return measured.withColumn("bytes_share", F.lit(index.bytes_read()))
 
 
