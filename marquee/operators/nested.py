@@ -1,7 +1,7 @@
 """Cells that hold a nested value written as a Python literal, flattened into relational tables.
 
-Cells are cut into quoted strings and what stands between them, re-quoted as JSON and parsed inside the JVM, quotes within names and
-escapes included. What is not a list of dicts of strings, whole numbers and None (booleans, decimals, other escapes, malformed text) goes to
+Most cells are JSON but for their quotes, which the parser takes, and None: one pattern tells so. Others are cut into quoted strings and what stands between them, re-quoted as JSON and parsed inside the JVM, quotes within names and
+escapes included. A cell whose last character cannot end its container is null at once. What is not a list of dicts of strings, whole numbers and None (booleans, decimals, other escapes, malformed text) goes to
 ``ast.literal_eval`` in Arrow batches; both ways give the same value.
 """
 
@@ -34,6 +34,30 @@ STRING = r"""'([^'\n\r\x00]*+)'|"([^"\n\r\x00]*+)\""""
 KNOWN_ESCAPE = r"\\(?!n|r|t|b|f|a|v|x[0-9a-fA-F]{2}|u(?![dD][89a-fA-F])[0-9a-fA-F]{4})"
 
 
+def _simple(strings_without: str, items: str = "") -> tuple[str, str]:
+    """Patterns of a list and of a dict: flat dicts of whole numbers, None and strings that hold no escape, no control character, no "None" and none of ``strings_without``.
+
+    All repetitions are possessive, so a cell is read once, however long it is.
+    """
+    def quoted(mark: str) -> str:
+        inside = rf"[^{mark}N\\\p{{Cntrl}}{strings_without}]*+"
+        return f"{mark}{inside}(?:N(?!one){inside})*+{mark}"
+
+    string, number = f"(?:{quoted(chr(39))}|{quoted(chr(34))})", r"-?[1-9]\d{0,18}+|0"
+    pair = f"{string}: ?(?:{string}|{number}|None)"
+    one = rf"\{{(?:{pair}(?:, ?{pair})*+)?+\}}"
+    item = f"(?:{one}{items and '|' + number + '|' + items})"
+    return rf"\A\[(?:{item}(?:, ?{item})*+)?+\]\z", rf"\A{one}\z"
+
+
+SIMPLE_LIST, SIMPLE_DICT = _simple("")
+# Lists that hold numbers beside dicts, and no comma or bracket in a string, so that such a number is told by what stands before it.
+MIXED_LIST = _simple(r",\[", "None")[0]
+LONE_NUMBER = r"([\[,] ?)-?\d++(?=[,\]])"
+# What no list or dict ends with; parentheses, comments and other blanks are left to Python.
+NO_END = {True: r"[\w'\":,{(\[}] *\z", False: r"[\w'\":,{(\[\]] *\z"}
+
+
 def _ddl(fields: Fields, many: bool) -> str:
     struct = "struct<" + ",".join(f"`{n}`:{t}" for n, t in fields.items()) + ">"
     return f"array<{struct}>" if many else struct
@@ -126,11 +150,18 @@ def with_literal(df: DataFrame, alias: str, cell: str, fields: Fields, many: boo
     parse, kept = _literal_udf(fields, many), [c for c in df.columns if c != alias]
     if not native:
         return df.select(*kept, parse(F.col(cell)).alias(alias))
-    df = with_json(df, "_json", cell, many)
+    text, null = F.col(cell), (F.lit("None"), F.lit("null"))
+    simple = F.when(text.rlike(SIMPLE_LIST if many else SIMPLE_DICT), F.replace(text, *null))
+    if many:
+        simple = simple.when(text.rlike(MIXED_LIST), F.replace(F.regexp_replace(text, LONE_NUMBER, "$1null"), *null))
+    df = df.withColumn("_simple", F.concat(F.lit('{"v":'), simple, F.lit("}")))
+    df = df.withColumn("_hopeless", F.col("_simple").isNull() & text.rlike(NO_END[many]) & ~text.contains("#"))
+    df = df.withColumn("_rest", F.when(F.col("_simple").isNull() & ~F.col("_hopeless"), text))
+    df = with_json(df, "_json", "_rest", many).withColumn("_json", F.coalesce("_simple", "_json"))
     df = df.withColumn("_read", F.from_json("_json", f"v {_ddl(fields, many)}, _bad string", JSON_OPTIONS))
     df = df.withColumn("_good", F.coalesce(F.col("_read._bad").isNull() & F.col("_json").isNotNull(), F.lit(False)))
     # Cells that are read already go in as null, so Python only sees the rest.
-    df = df.withColumn("_slow", parse(F.when(~F.col("_good"), F.col(cell))))
+    df = df.withColumn("_slow", parse(F.when(~F.col("_good") & ~F.col("_hopeless"), F.col(cell))))
     return df.select(*kept, F.when(F.col("_good"), F.col("_read.v")).otherwise(F.col("_slow")).alias(alias))
 
 

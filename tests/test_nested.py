@@ -3,6 +3,7 @@ import ast
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from marquee.operators import nested
 
@@ -120,3 +121,28 @@ def test_cells_are_parsed_once(spark):
     df = spark.createDataFrame([(1, 1, "[]")], "n int, id int, cast string")
     plan = nested.cast_table(nested.cast_items(df, "id", "cast", ["n"]), ["n"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and plan.count("from_json") == 1
+
+
+ODD_CELLS = [
+    "[]", "[{}]", "[{'id': 1, 'name': 'a'}, 7]", "[7, -8, {'id': 2, 'name': None}, None, 0]", "[{'id': 3, 'name': 'x, 7, y'}, 7]", "[{'id': 4, 'name': '[5, 6]'}, 5]",
+    "[{'id': 5, 'name': 'None'}]", "[{'id': 6, 'name': 'Nono'}, {'id': None, 'name': \"O'Brien\"}]", "[{'id': 7, 'name': 'say \"x\"'}]", "[{'id': 8, 'name': ", "[{'id': 9, 'name': 'x",
+    "([{'id': 10, 'name': 'x'}])", "[{'id': 11, 'name': 'x'}] # note", "[{'id': 12}] # 'x'", "{'id': 13, 'name': 'y'}", "{'id': 14, 'name': '", "[{'id': 15, 'name': 'x'}]  ", "[{'id': 01}]", "[{'id': -0}]",
+    "[{'id': 99999999999999999999, 'name': 'x'}]", "[{'id': 16, 'name': 'a' 'b'}]", "[{'id': 17, 'name': '''z'''}]", "[{'id': 18, 'name': 'x'},]", "[{'id': 19, 'name': 'x'} {'id': 20}]", "5", "None", "", None,
+    "[{'id': 21, 'name': True}]", "[1.5, {'id': 22}]", "[{'id': 23, 'name': 'tab\there'}]", "[{'id': 24, 'name': 'a\\\\'}]", "[" + ", ".join(f"{{'id': {i}, 'name': 'n{i}'}}" for i in range(5000)) + "]",
+]
+
+
+@pytest.mark.parametrize("many", [True, False])
+def test_simple_cells_are_read_as_python_reads_them(spark, many):
+    fields = {"id": "long", "name": "string"}
+    df = spark.createDataFrame(list(enumerate(ODD_CELLS)), "i int, cell string")
+    native, plain = (nested.with_literal(df, "v", "cell", fields, many, native).orderBy("i").collect() for native in (True, False))
+    assert [(r.cell and r.cell[:60], r.v) for r in native] == [(r.cell and r.cell[:60], r.v) for r in plain]
+
+
+def test_irregular_cells_of_known_kinds_stay_out_of_python(spark, monkeypatch):
+    """Numbers among the dicts and cells that break off: nothing that the Python way is handed."""
+    monkeypatch.setattr(nested, "_literal_udf", lambda fields, many: lambda c: F.when(c.isNotNull(), F.raise_error(F.lit("a cell reached Python")).cast("array<struct<id:long,name:string>>")))
+    cells = [("[{'id': 1, 'name': \"O'Brien\"}, 7]",), ("[{'id': 2, 'name': ",), ("[{'id': 3, 'name': None}]",)]
+    rows = nested.with_literal(spark.createDataFrame(cells, "cell string"), "v", "cell", {"id": "long", "name": "string"}).collect()
+    assert [r.v and [x and tuple(x) for x in r.v] for r in rows] == [[(1, "O'Brien"), None], None, [(3, None)]]
