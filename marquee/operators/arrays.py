@@ -1,8 +1,6 @@
 """Ordered arrays of related rows, one array per item.
 
-Rows are grouped in two steps: first by item and element, where repeated elements shrink to a count on the
-map side, then by item. So a group handed to one task is at most the item's distinct elements,
-the content of the array that is asked for.
+Rows are grouped by item once. A group handed to one task is the item's elements, the content of the array that is asked for.
 """
 
 from __future__ import annotations
@@ -28,23 +26,20 @@ class Relation:
 def name_arrays(relations: Mapping[str, Relation], item: str = "movie_id") -> DataFrame:
     """(item, one array per relation): names of the linked entities in ascending order, duplicates kept.
 
-    All relations travel as rows of one long table, so their number does not multiply the shuffles. Equal names
-    of an item are counted on the map side, and what is gathered per item are its distinct names.
+    All relations travel as rows of one long table, so their number does not multiply the shuffles. Every row ends up in an array, so nothing is counted beforehand: a table of
+    counts by item and name would hold the names of all rows once more.
     """
     parts = []
     for kind, r in enumerate(relations.values()):
         named = r.entities.select(F.col(r.entity_key).alias(r.link_key), "name")
         parts.append(r.links.join(named, r.link_key).select(item, F.lit(kind).alias("_kind"), "name"))
-    tallied = reduce(DataFrame.unionByName, parts).groupBy(item, "_kind", "name").agg(F.count("*").cast("int").alias("_n"))
-    gathered = tallied.groupBy(item).agg(*[
-        F.sort_array(F.collect_list(F.when(F.col("_kind") == kind, F.struct("name", "_n")))).alias(f"_names{kind}")
-        for kind in range(len(parts))
-    ])
+    rows = reduce(DataFrame.unionByName, parts)
+    gathered = rows.groupBy(item).agg(F.sort_array(F.collect_list(F.struct("_kind", "name"))).alias("_named"))
 
-    def repeated(kind: int) -> Column:
-        return F.flatten(F.transform(f"_names{kind}", lambda s: F.array_repeat(s["name"], s["_n"])))
+    def names(kind: int) -> Column:
+        return F.transform(F.filter("_named", lambda s: s["_kind"] == kind), lambda s: s["name"])
 
-    return gathered.select(item, *[repeated(kind).alias(alias) for kind, alias in enumerate(relations)])
+    return gathered.select(item, *[names(kind).alias(alias) for kind, alias in enumerate(relations)])
 
 
 def names_by_item(links: DataFrame, entities: DataFrame, link_key: str, entity_key: str, alias: str, item: str = "movie_id") -> DataFrame:

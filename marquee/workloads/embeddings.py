@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.plans import embed
+from marquee.session import tuned
 from marquee.workloads import query, table
 
 
@@ -15,6 +16,7 @@ def order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     The stored hashes are those of texts without genres and keywords, so they are current only for
     orders without lines.
     """
+    tuned(spark)
     o, li, p = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     story = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" of customer "), F.col("o_custkey").cast("string"), F.lit(" is told at length"))
     overview = F.when(F.col("o_orderstatus") == "F", "Too short").otherwise(story)

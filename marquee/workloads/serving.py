@@ -12,12 +12,14 @@ from marquee.operators.arrays import empty_if_null
 from marquee.plans import browse, details, search, similar
 from marquee.plans.catalogue import Catalogue, genre_arrays, genre_names, summary
 from marquee.plans.title_index import TitleIndex
+from marquee.session import tuned
 from marquee.workloads import SQL, query, table
 
 # ---- orders as movies, return flags of their lines as genres ---------------------------------------------------------
 
 
 def order_catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
+    tuned(spark)
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     day = F.col("o_orderdate").cast("date")
     movies = o.select(
@@ -361,6 +363,7 @@ def similarity_scores(spark, sf_dir):
 
 def order_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Orders with customers as collections and their lines as every kind of relation."""
+    tuned(spark)
     o, li, s = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     p, n, cu = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
     text, movie = F.lit(None).cast("string"), F.col("l_orderkey").alias("movie_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import display
 from marquee.functions.text import like_text, register_unaccent, search_form, unaccent
+from marquee.operators import arrays
 from marquee.operators import neighbours as nn
 from marquee.plans import browse, details, search, similar
 from marquee.plans.catalogue import Catalogue, InvalidArgument, Page, genre_names
@@ -295,3 +296,14 @@ def test_cards(spark):
 def test_page_arithmetic(catalogue):
     assert Page(catalogue.movies, 1, 20, 0).total_pages == 0 and Page(catalogue.movies, 1, 20, 41).total_pages == 3
     assert [r["name"] for r in genre_names(catalogue).collect()] == ["Action", "Animation", "Drama"]
+
+
+def test_name_arrays_shuffle_every_row_once(spark):
+    """Links are grouped by item alone, repeated names are kept, and a link table with few partitions doesn't make few large groups of tasks."""
+    links = spark.createDataFrame([(1, 5), (1, 6), (1, 6), (2, 5)], "movie_id long, k long")
+    entities = spark.createDataFrame([(5, "b"), (6, "a")], "id long, name string")
+    found = arrays.name_arrays({"x": arrays.Relation(links, "k", entities), "y": arrays.Relation(links.filter("movie_id = 2"), "k", entities)})
+    assert sorted(map(tuple, found.collect())) == [(1, ["a", "a", "b"], []), (2, ["b"], ["b"])]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(movie_id#\d+L, _kind", plan)
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == "1000"
