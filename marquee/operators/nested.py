@@ -34,13 +34,17 @@ STRING = r"""'([^'\n\r\x00]*+)'|"([^"\n\r\x00]*+)\""""
 KNOWN_ESCAPE = r"\\(?!n|r|t|b|f|a|v|x[0-9a-fA-F]{2}|u(?![dD][89a-fA-F])[0-9a-fA-F]{4})"
 
 
+CONTROLS = "".join(f"\\x{i:02x}" for i in (*range(32), 127))
+
+
 def _simple(strings_without: str, items: str = "") -> tuple[str, str]:
     """Patterns of a list and of a dict: flat dicts of whole numbers, None and strings that hold no escape, no control character, no "None" and none of ``strings_without``.
 
-    All repetitions are possessive, so a cell is read once, however long it is.
+    Repetitions of pairs and items are possessive, and what a string holds cannot end it, so a cell is read once, however long it is.
     """
     def quoted(mark: str) -> str:
-        inside = rf"[^{mark}N\\\p{{Cntrl}}{strings_without}]*+"
+        # A greedy run of a class of single characters is what the pattern engine reads fastest.
+        inside = rf"[^{mark}N\\{CONTROLS}{strings_without}]*"
         return f"{mark}{inside}(?:N(?!one){inside})*+{mark}"
 
     string, number = f"(?:{quoted(chr(39))}|{quoted(chr(34))})", r"-?[1-9]\d{0,18}+|0"
@@ -54,8 +58,8 @@ SIMPLE_LIST, SIMPLE_DICT = _simple("")
 # Lists that hold numbers beside dicts, and no comma or bracket in a string, so that such a number is told by what stands before it.
 MIXED_LIST = _simple(r",\[", "None")[0]
 LONE_NUMBER = r"([\[,] ?)-?\d++(?=[,\]])"
-# What no list or dict ends with; parentheses, comments and other blanks are left to Python.
-NO_END = {True: r"[\w'\":,{(\[}] *\z", False: r"[\w'\":,{(\[\]] *\z"}
+# The last character, blanks aside, of what is no list or no dict; parentheses, comments and other blanks are left to Python.
+NO_END = {True: r"[\w'\":,{(\[}]", False: r"[\w'\":,{(\[\]]"}
 
 
 def _ddl(fields: Fields, many: bool) -> str:
@@ -99,7 +103,9 @@ def _literal_udf(fields: Fields, many: bool):
 
     @F.arrow_udf(_ddl(fields, many))
     def parse(cells: pa.Array) -> pa.Array:
-        return pa.array([value(c) for c in cells.to_pylist()], type=arrow_type)
+        if cells.null_count == len(cells):
+            return pa.nulls(len(cells), arrow_type)
+        return pa.array([None if c is None else value(c) for c in cells.to_pylist()], type=arrow_type)
 
     # Declared so that no filter on the parsed value moves below it, which would parse every cell twice.
     return parse.asNondeterministic()
@@ -138,6 +144,11 @@ def with_json(df: DataFrame, json: str, cell: str, many: bool = True) -> DataFra
     return df.select(*kept, F.concat(F.lit('{"v":'), body, F.lit("}")).alias(json))
 
 
+def last_character(text: Column) -> Column:
+    """The last character before trailing blanks."""
+    return F.substring(F.rtrim(text), -1, 1)
+
+
 JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowUnquotedControlChars": "true"}
 
 
@@ -154,8 +165,8 @@ def with_literal(df: DataFrame, alias: str, cell: str, fields: Fields, many: boo
     simple = F.when(text.rlike(SIMPLE_LIST if many else SIMPLE_DICT), F.replace(text, *null))
     if many:
         simple = simple.when(text.rlike(MIXED_LIST), F.replace(F.regexp_replace(text, LONE_NUMBER, "$1null"), *null))
-    df = df.withColumn("_simple", F.concat(F.lit('{"v":'), simple, F.lit("}")))
-    df = df.withColumn("_hopeless", F.col("_simple").isNull() & text.rlike(NO_END[many]) & ~text.contains("#"))
+    df = df.withColumn("_simple", F.concat(F.lit('{"v":'), F.when(text.endswith("]" if many else "}"), simple), F.lit("}")))
+    df = df.withColumn("_hopeless", F.col("_simple").isNull() & last_character(text).rlike(NO_END[many]) & ~text.contains("#"))
     df = df.withColumn("_rest", F.when(F.col("_simple").isNull() & ~F.col("_hopeless"), text))
     df = with_json(df, "_json", "_rest", many).withColumn("_json", F.coalesce("_simple", "_json"))
     df = df.withColumn("_read", F.from_json("_json", f"v {_ddl(fields, many)}, _bad string", JSON_OPTIONS))
@@ -174,7 +185,7 @@ def with_literal_list(df: DataFrame, alias: str, cell: str, fields: Fields) -> D
 def items(df: DataFrame, owner: str, cell: str, fields: Fields, order: Sequence[str]) -> DataFrame:
     """One row per list item: owner as ``movie_id``, the order columns, ``pos`` and the fields."""
     narrow = df.select(F.col(owner).cast("bigint").alias("movie_id"), *order, F.col(cell).alias("_cell"))
-    parsed = with_literal(dealt_out(narrow), "_items", "_cell", fields)
+    parsed = with_literal(dealt_out(narrow, "movie_id", *order), "_items", "_cell", fields)
     rows = parsed.select("movie_id", *order, F.posexplode("_items").alias("pos", "_item")).filter(F.col("_item").isNotNull())
     return rows.select("movie_id", *order, "pos", *[F.col(f"_item.`{n}`").alias(n) for n in fields])
 
@@ -214,7 +225,7 @@ def with_collection_id(df: DataFrame, alias: str, cell: str) -> DataFrame:
 
 def collections(df: DataFrame, cell: str, order: Sequence[str]) -> DataFrame:
     """Distinct collections (id, name, poster_path, backdrop_path), first seen wins."""
-    rows = with_literal(df.select(*order, F.col(cell).alias("_cell")), "_c", "_cell", COLLECTION, many=False).select(*order, "_c.*")
+    rows = with_literal(dealt_out(df.select(*order, F.col(cell).alias("_cell")), *order), "_c", "_cell", COLLECTION, many=False).select(*order, "_c.*")
     return first_values(rows.filter(F.col("id").isNotNull()), "id", ["name", "poster_path", "backdrop_path"], order)
 
 

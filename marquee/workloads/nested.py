@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marquee.operators import nested
 from marquee.plans import load
+from marquee.session import dealt_out
 from marquee.workloads import query, table
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -102,7 +103,7 @@ def nested_collections(spark, sf_dir):
 
 @query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_returnflag <> 'R' then l_suppkey::double end as collection_id from lineitem")
 def nested_collection_id(spark, sf_dir):
-    rows = cells(spark, sf_dir).select(*ORDER, "belongs_to_collection")
+    rows = dealt_out(cells(spark, sf_dir).select(*ORDER, "belongs_to_collection"), *ORDER)
     found = nested.with_collection_id(rows, "collection_id", "belongs_to_collection")
     return found.select(*ORDER, F.col("collection_id").cast("double").alias("collection_id"))
 
@@ -140,5 +141,5 @@ def nested_people(spark, sf_dir):
 select l_orderkey, l_linenumber, l_partkey, l_suppkey,
   case l_returnflag when 'A' then 2 when 'N' then 3 else 0 end as items from lineitem""")
 def nested_list_or_empty(spark, sf_dir):
-    rows = cells(spark, sf_dir).select(*ORDER, "genres")
+    rows = dealt_out(cells(spark, sf_dir).select(*ORDER, "genres"), *ORDER)
     return nested.with_literal_list(rows, "genres", "genres", {"id": "long", "name": "string"}).select(*ORDER, F.size("genres").alias("items"))

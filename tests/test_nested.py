@@ -146,3 +146,19 @@ def test_irregular_cells_of_known_kinds_stay_out_of_python(spark, monkeypatch):
     cells = [("[{'id': 1, 'name': \"O'Brien\"}, 7]",), ("[{'id': 2, 'name': ",), ("[{'id': 3, 'name': None}]",)]
     rows = nested.with_literal(spark.createDataFrame(cells, "cell string"), "v", "cell", {"id": "long", "name": "string"}).collect()
     assert [r.v and [x and tuple(x) for x in r.v] for r in rows] == [[(1, "O'Brien"), None], None, [(3, None)]]
+
+
+def test_rows_are_dealt_out_by_their_key_without_a_sort(spark):
+    rows = [(i, i % 3, f"[{{'id': {i}, 'name': 'n'}}]") for i in range(50)]
+    df = spark.createDataFrame(rows, "n int, id int, v string")
+    found = nested.id_name_items(df, "id", "v", ["n"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan and "RoundRobin" not in plan
+    assert {tuple(r) for r in found.select("n", "movie_id", "id").collect()} == {(n, i, n) for n, i, _ in rows}
+
+
+@pytest.mark.parametrize("control", [chr(i) for i in (*range(32), 127)])
+def test_no_control_character_is_simple(control):
+    import re
+
+    assert not re.match(nested.SIMPLE_LIST.replace(r"\z", r"\Z"), f"[{{'id': 1, 'name': 'a{control}b'}}]")
