@@ -23,23 +23,42 @@ class Relation:
     entity_key: str = "id"
 
 
-def name_arrays(relations: Mapping[str, Relation], item: str = "movie_id") -> DataFrame:
-    """(item, one array per relation): names of the linked entities in ascending order, duplicates kept.
+@dataclass(frozen=True)
+class Members:
+    """Rows of items that become arrays of structs of ``fields``, sorted by ``order``; ties are broken by the fields."""
+
+    rows: DataFrame
+    fields: Sequence[str]
+    order: Sequence[Column]
+
 
-    All relations travel as rows of one long table, so their number does not multiply the shuffles. Every row ends up in an array, so nothing is counted beforehand: a table of
-    counts by item and name would hold the names of all rows once more.
+def arrays_by_item(names: Mapping[str, Relation], members: Mapping[str, Members] | None = None, item: str = "movie_id") -> DataFrame:
+    """(item, one array per relation, one per kind of members).
+
+    A relation's array holds the names of the linked entities in ascending order, duplicates kept. All arrays travel as rows of one long table that is shuffled and grouped by
+    item once, so their number multiplies neither shuffles nor joins. Every row ends up in an array, so nothing is counted or gathered before the shuffle.
     """
-    parts = []
-    for kind, r in enumerate(relations.values()):
-        named = r.entities.select(F.col(r.entity_key).alias(r.link_key), "name")
-        parts.append(r.links.join(named, r.link_key).select(item, F.lit(kind).alias("_kind"), "name"))
-    rows = reduce(DataFrame.unionByName, parts)
-    gathered = rows.groupBy(item).agg(F.sort_array(F.collect_list(F.struct("_kind", "name"))).alias("_named"))
+    aliases, parts = [*names, *(members or {})], []
+    for alias, r in names.items():
+        named = r.entities.select(F.col(r.entity_key).alias(r.link_key), F.struct("name").alias("_name"))
+        parts.append(r.links.join(named, r.link_key).select(item, F.lit(aliases.index(alias)).alias("_kind"), "_name"))
+    for alias, m in (members or {}).items():
+        keys = [c.alias(f"_o{i}") for i, c in enumerate(m.order)]
+        packed = F.struct(*keys, F.struct(*m.fields).alias("_row"))
+        parts.append(m.rows.select(item, F.lit(aliases.index(alias)).alias("_kind"), packed.alias(f"_members_{alias}")))
+    rows = reduce(lambda mine, more: mine.unionByName(more, allowMissingColumns=True), parts).repartition(item)
+
+    def gathered(alias: str) -> Column:
+        element = F.col("_name" if alias in names else f"_members_{alias}")
+        return F.sort_array(F.collect_list(F.when(F.col("_kind") == aliases.index(alias), element))).alias(alias)
 
-    def names(kind: int) -> Column:
-        return F.transform(F.filter("_named", lambda s: s["_kind"] == kind), lambda s: s["name"])
+    arrays = rows.groupBy(item).agg(*[gathered(alias) for alias in aliases])
+    return arrays.select(item, *[F.col(alias)["name" if alias in names else "_row"].alias(alias) for alias in aliases])
 
-    return gathered.select(item, *[names(kind).alias(alias) for kind, alias in enumerate(relations)])
+
+def name_arrays(relations: Mapping[str, Relation], item: str = "movie_id") -> DataFrame:
+    """(item, one array per relation): names of the linked entities in ascending order, duplicates kept."""
+    return arrays_by_item(relations, item=item)
 
 
 def names_by_item(links: DataFrame, entities: DataFrame, link_key: str, entity_key: str, alias: str, item: str = "movie_id") -> DataFrame:
@@ -49,10 +68,7 @@ def names_by_item(links: DataFrame, entities: DataFrame, link_key: str, entity_k
 
 def structs_by_item(rows: DataFrame, fields: Sequence[str], order: Sequence[Column], alias: str, item: str = "movie_id") -> DataFrame:
     """(item, alias): structs of ``fields`` sorted by ``order``; ties are broken by the fields."""
-    keys = [c.alias(f"_o{i}") for i, c in enumerate(order)]
-    packed = F.struct(*keys, F.struct(*fields).alias("_row"))
-    gathered = rows.groupBy(item).agg(F.sort_array(F.collect_list(packed)).alias("_packed"))
-    return gathered.select(item, F.transform("_packed", lambda s: s["_row"]).alias(alias))
+    return arrays_by_item({}, {alias: Members(rows, fields, order)}, item)
 
 
 def empty_if_null(df: DataFrame, *columns: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.operators.arrays import Relation, empty_if_null, name_arrays, structs_by_item
+from marquee.operators.arrays import Members, Relation, arrays_by_item, empty_if_null
 
 # alias -> (link table, link key, entity table, entity key)
 NAME_ARRAYS = {
@@ -23,25 +23,24 @@ SCALARS = (
 )
 
 
-def cast_arrays(movie_cast: DataFrame, people: DataFrame) -> DataFrame:
-    """(movie_id, cast) in billing order."""
+def cast_members(movie_cast: DataFrame, people: DataFrame) -> Members:
+    """The cast in billing order."""
     named = movie_cast.join(people.select(F.col("id").alias("person_id"), "name"), "person_id")
     named = named.withColumnsRenamed({"character_name": "character", "cast_order": "order"})
-    return structs_by_item(named, ["person_id", "name", "character", "order"], [F.col("order")], "cast")
+    return Members(named, ["person_id", "name", "character", "order"], [F.col("order")])
 
 
-def crew_arrays(movie_crew: DataFrame, people: DataFrame) -> DataFrame:
-    """(movie_id, crew) by department (missing last), then job."""
+def crew_members(movie_crew: DataFrame, people: DataFrame) -> Members:
+    """The crew by department (missing last), then job."""
     named = movie_crew.join(people.select(F.col("id").alias("person_id"), "name"), "person_id")
-    order = [F.col("department").isNull(), F.col("department"), F.col("job")]
-    return structs_by_item(named, ["person_id", "name", "job", "department"], order, "crew")
+    return Members(named, ["person_id", "name", "job", "department"], [F.col("department").isNull(), F.col("department"), F.col("job")])
 
 
 def details(tables: Mapping[str, DataFrame], movie_id: int | None = None) -> DataFrame:
     """Details of every movie, or of one id (no row when it does not exist).
 
-    The relations are aggregated by movie before they are joined, so they do not multiply each other, and
-    all joins but the collection's use the partitioning by movie id that the aggregations already have. A
+    All relations are gathered by movie in one grouping before they are joined, so they do not multiply each other, and
+    all joins but the collection's use the partitioning by movie id that the grouping already has. A
     given id reaches every relation's scan.
     """
     def of(name: str, key: str = "movie_id") -> DataFrame:
@@ -60,9 +59,8 @@ def details(tables: Mapping[str, DataFrame], movie_id: int | None = None) -> Dat
         alias: Relation(of(link), link_key, tables[entity], entity_key)
         for alias, (link, link_key, entity, entity_key) in NAME_ARRAYS.items()
     }
-    parts = [links, name_arrays(names)]
-    parts += [cast_arrays(of("movie_cast"), tables["people"]), crew_arrays(of("movie_crew"), tables["people"])]
-    for part in parts:
+    members = {"cast": cast_members(of("movie_cast"), tables["people"]), "crew": crew_members(of("movie_crew"), tables["people"])}
+    for part in (links, arrays_by_item(names, members)):
         wide = wide.join(part.withColumnRenamed("movie_id", "id"), "id", "left")
     return empty_if_null(wide, *NAME_ARRAYS, "cast", "crew")
 
