@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 # AQE turns small shuffled sides into broadcasts by their measured size, merges small partitions and
 # splits skewed ones; forceOptimizeSkewedJoin lets it split a hot join key even when that costs a shuffle. It can merge partitions, but cut none
 # of a grouping: so there are many to begin with, and the bytes of a task stay those of the advisory size.
+# A task that scans combines the rows of its part of a file (distinct links), so that part is small too.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.files.maxPartitionBytes": "32m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

@@ -15,3 +15,13 @@ def test_all_arrays_come_from_one_grouping_of_rows_shuffled_once(spark):
     assert {(r[0], tuple(r[1]), tuple(map(tuple, r[2]))) for r in found.collect()} == {
         (1, ("a", "b"), ((1, None), (2, "x"))), (2, (None,), ()), (4, (), ((3, "z"),)),
     }
+
+
+def test_a_large_file_is_scanned_in_small_parts(spark, tmp_path):
+    path = str(tmp_path / "links")
+    spark.range(20_000_000, numPartitions=1).write.option("compression", "none").option("parquet.block.size", 1 << 20).option("parquet.enable.dictionary", "false").parquet(path)
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "1")
+    try:
+        assert spark.read.parquet(path).rdd.getNumPartitions() >= 4
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
