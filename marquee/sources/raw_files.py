@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -57,16 +58,20 @@ def null_missing(df: DataFrame, columns: Iterable[str] | None = None) -> DataFra
 
 def read_csv(
     spark: SparkSession, path: str, columns: Sequence[str] | None = None, multiline: bool = False,
-    missing: bool = True, row_order: bool = True,
+    missing: bool | Sequence[str] = True, row_order: bool = True,
 ) -> DataFrame:
     """Read CSV with a header as text columns.
 
-    Columns are matched by the header's names, so files may hold more. ``row_id`` is a struct that
+    Columns are matched by the header's names, so files may hold more. ``missing`` says which columns spell missing values: all,
+    none, or those named. Other columns keep every text as it stands; in them a cell of two quotes is an empty text and one
+    of nothing is null. ``row_id`` is a struct that
     sorts in file order: file, then block, then position within it. Every multi-line file is one task, so give
     large inputs as several files, and store the result once (``ingest``) before running jobs on it.
     """
     reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multiline, encoding="UTF-8")
     reader = reader.options(enforceSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    # Unset, the first is U+0000, which then goes from quoted cells; and Spark nulls cells that equal the second, so none may.
+    reader = reader.options(charToEscapeQuoteEscaping='"', nullValue=uuid.uuid4().hex)
     header = spark.read.options(header=True, quote='"', escape='"', multiLine=multiline).csv(path).columns
     df = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in header])).csv(path)
     wanted = [c for c in columns if c in header] if columns else header
@@ -78,7 +83,8 @@ def read_csv(
         df = df.select(*wanted, position.alias(ROW))
     else:
         df = df.select(*wanted)
-    return null_missing(df, wanted) if missing else df
+    spelt = wanted if missing is True else [c for c in wanted if c in (missing or ())]
+    return null_missing(df, spelt)
 
 
 def read_raw(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -57,6 +57,29 @@ def test_raw_reader(raw):
     assert total == 7 and head.count() == 2
 
 
+def test_cells_kept_as_they_stand(spark, tmp_path):
+    """Without spellings of missing values two quotes are an empty text, nothing is null, and U+0000 stays."""
+    (tmp_path / "odd.csv").write_text('a,b\n"","NA"\n,NA\nx\0,"\0""\0\n\0"\n', newline="")
+    read = lambda **more: [tuple(r) for r in raw_files.read_csv(spark, str(tmp_path / "odd.csv"), ["a", "b"], multiline=True, **more).select("a", "b").collect()]
+    kept = ("x\0", '\0"\0\n\0')
+    assert read() == [(None, None), (None, None), kept]
+    assert read(missing=False) == [("", "NA"), (None, "NA"), kept]
+    assert read(missing=["b"]) == [("", None), (None, None), kept]
+
+
+def test_scan_csv_odd_documents(spark, tmp_path):
+    """Texts, languages and sources that are empty or spelt like missing values come out as the SQL has them."""
+    odd = [*raw_files.MISSING, None, "none", "de", "es", "en", "=", "==", "=NA", " NA", "\r", "\n", '"', '"\0"', "\n\0", 'a\0""\0,b', "\\"]
+    rows = [(i, t, odd[(i + 7) % len(odd)], odd[(i + 11) % len(odd)]) for i, t in enumerate(odd * 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    workloads.load_all()
+    for name in ("scan_csv", "scan_csv_in_file_order", "scan_csv_one_column"):
+        frame = workloads.QUERIES[name](spark, str(tmp_path))
+        assert {tuple(r) for r in frame.collect()} == set(con.execute(f"select {', '.join(frame.columns)} from ({workloads.SQL[name]})").fetchall()), name
+
+
 def test_end_to_end(spark, raw):
     movies = prepare.clean_movies(raw["movies_metadata"], ORDER).cache()
     rows = {r["id"]: r for r in movies.collect()}
